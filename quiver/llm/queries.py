@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quiver.llm.common import read_table
 from quiver.llm.near_dedup import near_duplicates
+from quiver.llm.quality_classifier import score_quality
 from quiver.llm.sharding import shard_documents
 
 #: Production parameters.
@@ -18,12 +19,17 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_quality_classifier": op3_quality_classifier,
     "op10_near_dedup": op10_near_dedup,
 }
 
