@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quiver.llm.common import read_table
 from quiver.llm.near_dedup import near_duplicates
 from quiver.llm.quality_classifier import score_quality
+from quiver.llm.quality_rules import apply_rules
 from quiver.llm.sharding import shard_documents
 
 #: Production parameters.
@@ -23,6 +24,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_quality_rules": op5_quality_rules,
     "op10_near_dedup": op10_near_dedup,
 }
 
