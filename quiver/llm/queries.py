@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import line_dedup, mixing
+from quiver.llm import line_dedup, mixing, pii
 from quiver.llm.common import read_table
 from quiver.llm.near_dedup import near_duplicates
 from quiver.llm.quality_classifier import score_quality
@@ -34,6 +34,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    base = pii.listed(F.filter("spans", lambda s: s["kind"] != "term"))
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.PATTERNS), F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
