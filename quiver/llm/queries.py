@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quiver.llm import line_dedup, mixing, pii
 from quiver.llm.common import read_table
+from quiver.llm.license_scan import scan_licenses
 from quiver.llm.near_dedup import near_duplicates
 from quiver.llm.quality_classifier import score_quality
 from quiver.llm.quality_rules import apply_rules
@@ -30,6 +31,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
+    "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_line_dedup": op9_line_dedup,
