@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from quiver.llm import line_dedup, mixing, pii
 from quiver.llm.common import read_table
+from quiver.llm.decontamination import find_items
 from quiver.llm.license_scan import scan_licenses
 from quiver.llm.near_dedup import near_duplicates
 from quiver.llm.quality_classifier import score_quality
 from quiver.llm.quality_rules import apply_rules
+from quiver.llm.quotation import link_quotations
 from quiver.llm.sharding import shard_documents
 
 #: Production parameters.
@@ -23,10 +25,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(read_table(spark, sf_dir, "conversations"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -56,7 +66,9 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_quotation": op4_quotation,
     "op5_quality_rules": op5_quality_rules,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
