@@ -1,0 +1 @@
+"""Edges that arrive as a stream."""
