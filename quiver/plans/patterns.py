@@ -48,6 +48,9 @@ class Matcher:
 
     def path(self, frame: Frame, path: A.Path) -> Frame:
         elements = [replace(e, variable=e.variable or self.hidden()) for e in path.elements]
+        for e, given in zip(elements, path.elements, strict=True):
+            if given.variable is None:
+                self.wanted[e.variable] = {name for name, _ in e.properties}
         nodes, edges = elements[0::2], elements[1::2]
         if path.shortest:
             return self.shortest(frame, path, elements)
