@@ -20,33 +20,61 @@ ship_by_value(__name__)
 SAMPLES, BANDS = 128, 32
 #: Bits of the parity bitmap.
 SKETCH_BITS = 512
-#: Pairs whose sketches put them below this are not checked further: over 5 standard errors below 0.75.
-SKETCH_FLOOR = 0.55
+#: Pairs whose sketches put them below this are not checked further: over 4 standard errors below 0.75.
+SKETCH_FLOOR = 0.58
 #: A pair is linked if the sets share at least so many hundredths of their union.
 LINK_PERCENT = 75
 
+#: Samples and bits of the longer sketches of documents that the rounds leave in mixed buckets, and the floor for them, over 4 standard errors too.
+LONG_SAMPLES, LONG_BITS, LONG_FLOOR = 512, 2048, 0.66
+#: Rounds in which each mixed bucket pairs some of its members with the others, and members drawn in each round but the first.
+ROUNDS, DRAWS = 2, 4
+#: Ids of documents in candidate pairs are broadcast up to so many (8 bytes each).
+MOST_BROADCAST = 2_000_000
+
 _PARITY = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+_LONG = [f"t{i}" for i in range(LONG_BITS // 64)]
 _SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, " + ", ".join(f"{s} long" for s in _PARITY)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmap of a MinHash signature: each (position, value) flips one bit, so common samples cancel in an XOR."""
     place = np.arange(1, len(samples) + 1, dtype=np.uint64)
-    bits = mix(samples + place * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+    bits = mix(samples + place * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(size)
+    return np.packbits((np.bincount(bits.astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64)
 
 
-def most_odd_bits(floor: float = SKETCH_FLOOR) -> int:
+def most_odd_bits(floor: float = SKETCH_FLOOR, samples: int = SAMPLES, size: int = SKETCH_BITS) -> int:
     """The XOR population count at which the estimated similarity falls to ``floor``."""
-    different = 2 * SAMPLES * (1 - floor)
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * different / SKETCH_BITS)))
+    different = 2 * samples * (1 - floor)
+    return math.ceil(size / 2 * (1 - math.exp(-2 * different / size)))
+
+
+def _functions(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 1 << 64, samples, np.uint64)[:, None] | np.uint64(1), rng.integers(0, 1 << 64, samples, np.uint64)[:, None]
+
+
+def _minima(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low = np.full(len(a), ~np.uint64(0), np.uint64)
+    for start in range(0, len(found), 1024):
+        low = np.minimum(low, (a * found[start : start + 1024] + b).min(axis=1))
+    return low
+
+
+def long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Odd sketches of more samples and bits, with functions of their own."""
+    a, b = _functions(LONG_SAMPLES, 20140408)
+    hashes = WordHashes()
+    for batch in slices(batches):
+        rows = [odd_sketch(_minima(shingle_set(text, hashes), a, b), LONG_BITS) for text in as_bytes(batch.column(1))]
+        sketch = np.array(rows, np.int64).reshape(-1, len(_LONG))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(_LONG)))], ["node", *_LONG])
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: size and two order-free sums of its shingle set, the hash of each band, and the odd sketch."""
-    rng = np.random.default_rng(20140407)
-    a = rng.integers(0, 1 << 64, SAMPLES, np.uint64, endpoint=False)[:, None] | np.uint64(1)
-    b = rng.integers(0, 1 << 64, SAMPLES, np.uint64, endpoint=False)[:, None]
+    a, b = _functions(SAMPLES, 20140407)
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     hashes = WordHashes()
     for batch in slices(batches):
@@ -58,9 +86,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fp1.append(0), fp2.append(0), bands.append([]), parity.append(np.zeros(len(_PARITY), np.int64))
                 continue
             fp1.append(found.sum(dtype=np.uint64).astype(np.int64)), fp2.append(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
-            low = np.full(SAMPLES, ~np.uint64(0), np.uint64)
-            for start in range(0, len(found), 1024):
-                low = np.minimum(low, (a * found[start : start + 1024] + b).min(axis=1))
+            low = _minima(found, a, b)
             rows, key = low.reshape(BANDS, -1), salt
             for j in range(rows.shape[1]):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
@@ -96,15 +122,31 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _close(left: str, right: str) -> Column:
     """Sizes and sketches of two sides allow the similarity."""
     n, m = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-    odd = sum((F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in _PARITY[1:]), F.bit_count(F.col(f"{left}.{_PARITY[0]}").bitwiseXOR(F.col(f"{right}.{_PARITY[0]}"))))
-    return (100 * F.least(n, m) >= LINK_PERCENT * F.greatest(n, m)) & (odd <= most_odd_bits())
+    return (100 * F.least(n, m) >= LINK_PERCENT * F.greatest(n, m)) & (_odd(left, right, _PARITY) <= most_odd_bits())
+
+
+def _odd(left: str, right: str, columns: list[str]) -> Column:
+    """Population count of the XOR of two sketches."""
+    parts = [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in columns]
+    return sum(parts[1:], parts[0])
+
+
+def _first_shared(left: str, right: str) -> Column:
+    """The first band that two documents share: a pair comes out of that bucket only."""
+    other = F.col(f"{right}.bands")
+    return F.get(F.filter(F.col(f"{left}.bands"), lambda v, i: v == F.get(other, i)), F.lit(0))
+
+
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the ids; broadcast ids up to a number, so that the other texts stay where they are."""
+    ids = materialise(ids.toDF("doc_id").distinct(), "ids")
+    return texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold on full sets; the side that many pairs share, a, stands first."""
-    first = texts.toDF("a", "text_a")
-    second = texts.toDF("b", "text_b")
-    both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) that hold on full sets. Texts of documents in no pair are left out before any shuffle."""
+    needed = _only(texts, pairs.select("a").union(pairs.select("b")))
+    both = pairs.join(needed.toDF("b", "text_b"), "b").join(needed.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(confirmed, "a long, b long").distinct()
 
 
@@ -112,10 +154,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Size of each document's shingle set, its group of near-duplicates, and whether it is the one that stays.
 
     1. One pass gives MinHash bands, odd sketch and fingerprint; equal sets collapse to one node.
-    2. In every shared band the most central member (largest sum of bucket sizes) is paired with the others: as many
-       pairs as members. Odd sketches drop hopeless pairs, full sets confirm the rest, components follow.
+    2. In every shared band one member is paired with the others, as many pairs as members: first the most central
+       (largest sum of bucket sizes), then drawn ones, as long as the bucket holds several components. Odd sketches drop
+       hopeless pairs, full sets confirm the rest, components follow.
     3. Buckets that still hold several components are joined with themselves; only pairs of different components that
-       pass size and sketch come out, and are confirmed likewise. So every pair that shares a band is either inside a
+       pass size and both sketches, the second one longer, come out, once each, and are confirmed likewise. So every pair that shares a band is either inside a
        component already or checked, and a large group of copies costs its size, not its square.
 
     Null or blank text: empty set, linked with nothing. Null doc_id: linked with nothing, component null, kept. Rows
@@ -134,29 +177,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = materialise(spread.join(shared, "band"), "buckets")
     weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
-    weighed = buckets.join(weight, "node")
-    centre = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "n_shingles")).alias("c"))
-    rays = (
-        buckets.join(centre.select("band", (-F.col("c.minus")).alias("a"), F.col("c.n_shingles").alias("m")), "band")
-        .filter((F.col("node") != F.col("a")) & (100 * F.least("n_shingles", "m") >= LINK_PERCENT * F.greatest("n_shingles", "m")))
-        .select("a", F.col("node").alias("b"))
-        .distinct()
-    )
     sketches = nodes.drop("bands")
-    pairs = materialise(rays.join(sketches.alias("y"), F.col("b") == F.col("y.node")).join(sketches.alias("x"), F.col("a") == F.col("x.node")).filter(_close("x", "y")).select("a", "b").distinct(), "pairs")
-    links = materialise(_confirm(pairs, texts), "links")
-    groups = connected_components(links)
-
-    placed = buckets.select("band", "node").join(groups, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
-    rest = placed.join(mixed, "band").join(sketches, "node")
-    more = rest.alias("x").join(rest.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y"))
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = materialise(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "left")
-    if not left.isEmpty():
-        found = materialise(_confirm(left, texts), "found")
+    groups = nodes.select("node", F.col("node").alias("component")).limit(0)
+    tried = groups.toDF("a", "b")
+
+    def placed() -> DataFrame:
+        """Members of the buckets that hold several components, with their component."""
+        now = buckets.join(groups, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+        mixed = now.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
+        return now.join(mixed, "band")
+
+    def link(pairs: DataFrame) -> None:
+        """Confirm pairs and merge the components."""
+        nonlocal groups, tried
+        tried = tried.union(pairs)
+        found = materialise(_confirm(pairs, texts), "links")
         if not found.isEmpty():
             groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+
+    for turn in range(ROUNDS):
+        members = placed()
+        # the first centre is the most central member; then several are drawn: a member that one centre misses meets others
+        ranked = members.join(weight, "node") if turn == 0 else members
+        ranks = [F.col("weight")] if turn == 0 else [F.xxhash64("band", "node", F.lit(turn * DRAWS + i)) for i in range(DRAWS)]
+        tops = [F.max(F.struct(r.alias("rank"), "node", "component", "n_shingles")).alias(f"c{i}") for i, r in enumerate(ranks)]
+        centre = ranked.groupBy("band").agg(*tops).select("band", F.explode(F.array(*(f"c{i}" for i in range(len(tops))))).alias("c")).select("band", F.col("c.node").alias("a"), F.col("c.component").alias("of"), F.col("c.n_shingles").alias("m")).distinct()
+        rays = members.join(centre, "band").filter((F.col("component") != F.col("of")) & (100 * F.least("n_shingles", "m") >= LINK_PERCENT * F.greatest("n_shingles", "m"))).select("a", F.col("node").alias("b")).distinct()
+        near = rays.join(sketches.alias("y"), F.col("b") == F.col("y.node")).join(sketches.alias("x"), F.col("a") == F.col("x.node")).filter(_close("x", "y")).select("a", "b")
+        pairs = materialise(near.join(tried, ["a", "b"], "left_anti"), f"pairs{turn}")
+        if pairs.isEmpty():
+            break
+        link(pairs)
+
+    rest = placed().drop("n_shingles")
+    long = materialise(_only(texts, rest.select("node")).mapInArrow(long_sketches, "node long, " + ", ".join(f"{t} long" for t in _LONG)), "long")
+    rest = rest.join(nodes, "node").join(long, "node")
+    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y")
+    apart = apart & (_odd("x", "y", _LONG) <= most_odd_bits(LONG_FLOOR, LONG_SAMPLES, LONG_BITS)) & (F.col("x.band") == _first_shared("x", "y"))
+    more = rest.alias("x").join(rest.alias("y"), apart)
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = materialise(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "left")
+    if not left.isEmpty():
+        link(left)
     named = classes.join(groups, "node", "left").select(*print_of, F.coalesce("component", "node").alias("component"))
     return seen.join(named, print_of, "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))).otherwise(F.col("doc_id")).alias("component_id")
