@@ -190,7 +190,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     held = index.select("shard", F.explode(F.array(*map(F.lit, range(PROBE_PARTS)))).alias("part"), F.lit(0).alias("turn"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "h", "fingerprint")), "phf", "fingerprints", "counts", "lasts")
     dealt = held.unionByName(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "turn")
     gone = materialise(dealt.mapInArrow(probe, "doc_id long, h long, fingerprint long").groupBy("doc_id").agg(F.collect_set(F.struct("h", "fingerprint")).alias("gone")), "gone")
-    return texts.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_rewrite, "doc_id long, n_lines long, n_dropped long, text string")
+    # a merge join at every size: the texts move once, and no plan changes as the table grows
+    return texts.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_rewrite, "doc_id long, n_lines long, n_dropped long, text string")
 
 
 ORACLE = """
