@@ -87,14 +87,16 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
     near = contexts.join(known, "entity").select("doc_id", "entity", "context", F.explode("terms").alias("term"))
     support = near.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= SUPPORT)
     joint = near.select("term", "entity", "doc_id").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("df_both"))
-    pairs = materialise(support.join(joint, ["term", "entity"]), "pairs")
     df_entity = contexts.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    df_near = contexts.select("doc_id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_near"))
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    joined = support.join(joint, ["term", "entity"]).join(df_entity, "entity").join(df_near, "term").crossJoin(F.broadcast(total)).filter("df_entity < total")  # one row
+    # the condition on the ratio, solved for df(t); documents with t near any entity are some of those with t
+    bounded = joined.withColumn("most", F.col("df_both") * F.pow(F.col("total") / F.col("df_entity"), F.lit(1 - DISCLOSURE)) * (1 + 1e-9))
+    pairs = materialise(bounded.filter("df_near <= most").select("term", "most"), "pairs")
     wanted = pairs.select("term").distinct()
     df_term = found.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    joined = pairs.join(df_entity, "entity").join(df_term, "term").crossJoin(F.broadcast(total))  # one row
-    revealed = F.log2(F.col("total") * F.col("df_both") / (F.col("df_term") * F.col("df_entity")))
-    return joined.filter(revealed >= DISCLOSURE * F.log2(F.col("total") / F.col("df_entity"))).filter("df_entity < total").select("term").distinct()
+    return pairs.join(df_term, "term").filter("df_term <= most").select("term").distinct()
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
