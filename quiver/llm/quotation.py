@@ -42,7 +42,7 @@ def own_text(lines: str) -> Column:
     """The message without quotations and without lines that announce one."""
     level = lambda i: F.coalesce(F.get(lines, i)["level"], F.lit(0))
     kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~(x["body"].rlike(_ANNOUNCES) & ((level(i + 1) > 0) | (level(i + 2) > 0))))
-    return F.trim(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"))
+    return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
 
 
 def _roots(parents: DataFrame) -> DataFrame:

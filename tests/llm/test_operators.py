@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quiver.llm.common import materialise
 from quiver.llm import decontamination, license_scan, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, quotation, sharding
 from tests.llm import data
 
@@ -187,7 +188,7 @@ def test_cutoffs_hold_their_promise(spark):
             body = [w + "###" for w in body]
         texts.append((i, " ".join(body), "en" if i < 3000 else "xx", "a"))
     labels = spark.createDataFrame([(i, 1) for i in range(3040)], "doc_id long, quality int")
-    counts = quality_rules.base_counts(data.frame(spark, texts))
+    counts = materialise(quality_rules.base_counts(data.frame(spark, texts)), "counts")
     cuts = {r.stratum: r for r in quality_rules.select_cutoffs(counts, labels).collect()}
     assert cuts["xx"].cut_symbols is None and cuts["en"].cut_symbols is not None and cuts["en"].cut_capitals == min(quality_rules.CUTOFFS)
     rejected = counts.filter("stratum = 'en'").filter(quality_rules.rule_shares()["symbols"] > cuts["en"].cut_symbols).count()
