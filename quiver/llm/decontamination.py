@@ -103,10 +103,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"].encode()) for r in rows]))
+        index = spark.sparkContext.broadcast(vars(ItemIndex([(r["item_id"], r["text"].encode()) for r in rows])))  # plain arrays: broadcasts are pickled by reference
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            known, hashes = index.value, WordHashes()
+            known, hashes = ItemIndex.__new__(ItemIndex), WordHashes()
+            vars(known).update(index.value)
             for batch in slices(batches):
                 out: tuple[list, ...] = ([], [], [], [])
                 for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
