@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases of the contract and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label: (keyword that a text must hold, the family's name in words, its identifier in words), all as regular expressions but the keyword.
+#: Label: (keyword that every match of the name holds, the family's name in words, its identifier in words), all as regular expressions but the keyword.
 FAMILIES = {
     "mit": ("mit", "(?:the )?mit", "mit"),
     "apache": ("apache", "apache(?: software)?", "apache(?: [12] [01])?"),
@@ -68,7 +69,7 @@ FAMILIES = {
 
 _VERSION = "(?: (?:version|v) ?[0-9]+(?: [0-9]+)?)?"
 _LICENSE = "(?: licen[sc]e)(?: agreement)?"
-#: Rules of a family in the order in which they win: template, weight. N stands for the name, I for the identifier.
+#: Rules of a family in the order in which they win: template, weight. N stands for the name and, in a rule of its own, for the identifier; I for the identifier only.
 TEMPLATES = (
     ("spdx licen[sc]e identifier I", 1.0),
     (f"(?:dual )?(?:licen[sc]ed|released|distributed|published|provided|available|covered|governed) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N(?:{_LICENSE})?{_VERSION}", 0.95),
@@ -85,11 +86,18 @@ KEYWORDS = "(?i)licen[sc]e|spdx|unlicense"
 
 
 def rules() -> list[dict]:
-    """Families with their signatures: hundreds of regular expressions over words joined by single spaces."""
-    return [
-        {"label": label, "keyword": keyword, "signatures": [{"priority": i, "weight": w, "pattern": f"(?<= )(?:{t.replace('N', name).replace('I', code)})(?= )"} for i, (t, w) in enumerate(TEMPLATES)]}
-        for label, (keyword, name, code) in FAMILIES.items()
-    ]
+    """Families with their signatures: hundreds of regular expressions over words joined by single spaces.
+
+    A family stands twice, with the rules of its name and those of its identifier, each behind a keyword that all their
+    matches hold; that of an identifier is its leading words, from the space in front of them.
+    """
+    out = []
+    for label, (keyword, name, code) in FAMILIES.items():
+        leading = " " + re.match("[a-z][a-z0-9]*(?: [a-z]+)*", code)[0]
+        for word, what, letters in ((keyword, name, "N"), (leading, code, "NI")):
+            signatures = [{"priority": i, "weight": w, "pattern": f"(?<= )(?:{re.sub(f'[{letters}]', lambda _: what, t)})(?= )"} for i, (t, w) in enumerate(TEMPLATES) if re.search(f"[{letters}]", t)]
+            out.append({"label": label, "keyword": word, "signatures": signatures})
+    return out
 
 
 _RULES = "array<struct<label:string,keyword:string,signatures:array<struct<priority:int,weight:double,pattern:string>>>>"

@@ -226,6 +226,33 @@ def test_license_scan(spark, docs, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
+#: A text of each rule, with N for a name or an identifier and I for an identifier.
+RULE_SAMPLES = ("SPDX-License-Identifier: I", "Licensed under the terms of the N", "under the conditions of the N License", "Subject to the N License", "Permission is hereby granted under the N License", "a copy of the N License", "the N License", "License: N")
+FAMILY_SAMPLES = {
+    "mit": ("MIT", "MIT"), "apache": ("Apache Software", "Apache-2.0"), "gpl": ("GNU General Public", "GPL-3.0-or-later"), "lgpl": ("GNU Lesser General Public", "LGPL-2.1"), "agpl": ("GNU Affero General Public", "AGPL-3.0-only"), "bsd": ("3-clause BSD", "BSD-3-Clause"), "isc": ("ISC", "ISC"),
+    "mpl": ("Mozilla Public", "MPL-2.0"), "epl": ("Eclipse Public", "EPL-2.0"), "cddl": ("Common Development and Distribution", "CDDL-1.0"), "cpl": ("Common Public", "CPL-1.0"), "cc-by": ("Creative Commons Attribution 4.0 International", "CC-BY-4.0"), "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0", "CC-BY-SA-4.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0", "CC BY-NC 4.0"), "cc0": ("Creative Commons CC0", "CC0-1.0"), "unlicense": ("Unlicense", "Unlicense"), "wtfpl": ("WTFPL", "WTFPL"), "zlib": ("zlib/libpng", "Zlib"), "boost": ("Boost Software", "BSL-1.0"), "artistic": ("Perl Artistic", "Artistic-2.0"),
+    "eupl": ("European Union Public", "EUPL-1.2"), "ofl": ("SIL Open Font", "OFL-1.1"), "psf": ("Python Software Foundation", "Python-2.0"), "php": ("PHP", "PHP-3.01"), "ruby": ("Ruby", "Ruby"), "w3c": ("W3C Software", "W3C"), "x11": ("X11", "X11"), "postgresql": ("PostgreSQL", "PostgreSQL"), "openssl": ("OpenSSL", "OpenSSL"),
+    "ms-pl": ("Microsoft Public", "MS-PL"), "ms-rl": ("Microsoft Reciprocal", "MS-RL"), "odbl": ("Open Database", "ODbL-1.0"), "cecill": ("CeCILL", "CECILL-2.1"), "afl": ("Academic Free", "AFL-3.0"), "osl": ("Open Software", "OSL-3.0"), "ecl": ("Educational Community", "ECL-2.0"), "ncsa": ("University of Illinois/NCSA Open Source", "NCSA"),
+    "vim": ("Vim", "Vim"), "tcl": ("Tcl/Tk", "TCL"), "beerware": ("Beerware", "Beerware"), "libpng": ("libpng", "libpng-2.0"), "sleepycat": ("Sleepycat", "Sleepycat"), "qpl": ("Q Public", "QPL-1.0"), "sspl": ("Server Side Public", "SSPL-1.0"), "bsl": ("Business Source", "BUSL-1.1"),
+}
+
+
+def test_every_license_rule_fires(spark):
+    assert FAMILY_SAMPLES.keys() == license_scan.FAMILIES.keys()
+    want, texts = {}, []
+    for label, (name, code) in FAMILY_SAMPLES.items():
+        for sample, (_, weight) in zip(RULE_SAMPLES, license_scan.TEMPLATES, strict=True):
+            for what in (code,) if "I" in sample.replace("License-Identifier", "") else (name, code):
+                want[len(texts)] = (label, weight, sample, what)
+                texts.append((len(texts), re.sub(r"\b[NI]\b", what, sample) + ".", "en", "a"))
+    texts.append((-1, "Licensed under CC BY-NC 4.0.", "en", "a"))
+    got = by_id(license_scan.scan_licenses(data.frame(spark, texts)))
+    wrong = [(w, got[i][0].labels, got[i][0].score) for i, w in want.items() if w[0] not in got[i][0].labels.split(",") or got[i][0].score < w[1]]
+    assert not wrong
+    assert got[-1][0].labels == "cc-by-nc" and got[-1][0].score == 0.95
+
+
 # 7
 
 
