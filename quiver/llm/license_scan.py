@@ -68,11 +68,13 @@ FAMILIES = {
 }
 
 _VERSION = "(?: (?:version|v) ?[0-9]+(?: [0-9]+)?)?"
+#: Words that make a statement of their own, without the word licence.
+_GIVEN = "released|distributed|published|provided|available|covered|governed"
 _LICENSE = "(?: licen[sc]e)(?: agreement)?"
 #: Rules of a family in the order in which they win: template, weight. N stands for the name and, in a rule of its own, for the identifier; I for the identifier only.
 TEMPLATES = (
     ("spdx licen[sc]e identifier I", 1.0),
-    (f"(?:dual )?(?:licen[sc]ed|released|distributed|published|provided|available|covered|governed) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N(?:{_LICENSE})?{_VERSION}", 0.95),
+    (f"(?:dual )?(?:licen[sc]ed|{_GIVEN}) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N(?:{_LICENSE})?{_VERSION}", 0.95),
     (f"under (?:the )?(?:terms|conditions) (?:and conditions )?of (?:the )?N{_LICENSE}{_VERSION}", 0.95),
     (f"subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N{_LICENSE}{_VERSION}", 0.9),
     (f"permission is (?:hereby )?granted under (?:the )?N{_LICENSE}{_VERSION}", 0.9),
@@ -81,8 +83,8 @@ TEMPLATES = (
     (f"licen[sc]e (?:type )?(?:is )?(?:the )?N{_VERSION}", 0.6),
 )
 
-#: Texts without any of these hold no signature.
-KEYWORDS = "(?i)licen[sc]e|spdx|unlicense"
+#: Texts without any of these hold no signature: every template has the word licence, but for the statements of the second.
+KEYWORDS = f"(?i)licen[sc]e|spdx|(?:{_GIVEN}){_GAP}(?:under|by)"
 
 
 def rules() -> list[dict]:

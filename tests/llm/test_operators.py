@@ -253,6 +253,17 @@ def test_every_license_rule_fires(spark):
     assert got[-1][0].labels == "cc-by-nc" and got[-1][0].score == 0.95
 
 
+def test_license_gate_passes_every_rule(spark):
+    """The words of each rule, without the word licence where it may be left out; line breaks and marks between words."""
+    verbs = ("Released", "DISTRIBUTED", "published", "Provided", "available", "covered", "governed")
+    texts = [(i, f"{v}\n* under the BSD 3-Clause.", "en", "a") for i, v in enumerate(verbs)] + [(20 + i, f"This is {v} by the Boost Software", "en", "a") for i, v in enumerate(verbs)]
+    texts += [(50, "Released under the Beerware", "en", "a"), (51, "available under pressure, by the BSD", "en", "a"), (52, "Subject to the Vim licence", "en", "a")]
+    got = by_id(license_scan.scan_licenses(data.frame(spark, texts)))
+    assert {(got[i][0].labels, got[i][0].score) for i in range(len(verbs))} == {("bsd", 0.95)}
+    assert {(got[20 + i][0].labels, got[20 + i][0].score) for i in range(len(verbs))} == {("boost", 0.95)}
+    assert [got[i][0].labels for i in (50, 51, 52)] == ["beerware", "", "vim"]
+
+
 # 7
 
 
