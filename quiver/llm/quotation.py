@@ -23,28 +23,53 @@ def quoted_lines(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), one)
 
 
+def _announces(lines: str, x: Column, i: Column) -> Column:
+    """The line announces a quotation that begins within two lines; a line inside a quotation announces one of a higher level."""
+    level = lambda j: F.coalesce(F.get(lines, j)["level"], F.lit(0))
+    return x["body"].rlike(_ANNOUNCES) & ((level(i + 1) > x["level"]) | (level(i + 2) > x["level"]))
+
+
+def _plain(text: Column) -> Column:
+    """Lower case with single spaces."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def passages(lines: str) -> Column:
-    """Runs of lines that are not blank and of one level, as (level, key): the key is the run in lower case with single spaces."""
+    """Runs of lines of one level that are neither blank nor announce a quotation, as (level, key, lines): the key is the run in lower case with single spaces; lines has the like of each line with a letter or digit."""
     body, level = (lambda i: F.get(lines, i)["body"]), (lambda i: F.coalesce(F.get(lines, i)["level"], F.lit(-1)))
-    blank = lambda i: F.coalesce(F.trim(F.regexp_replace(body(i), r"\s+", " ")) == "", F.lit(True))
+    out = lambda i: F.coalesce((F.trim(F.regexp_replace(body(i), r"\s+", " ")) == "") | _announces(lines, F.get(lines, i), i), F.lit(True))
     index = F.sequence(F.lit(0), F.size(lines) - 1)
-    starts = F.filter(index, lambda i: ~blank(i) & ((i == 0) | blank(i - 1) | (level(i) != level(i - 1))))
-    ends = F.filter(index, lambda i: ~blank(i) & (blank(i + 1) | (level(i) != level(i + 1))))
+    starts = F.filter(index, lambda i: ~out(i) & ((i == 0) | out(i - 1) | (level(i) != level(i - 1))))
+    ends = F.filter(index, lambda i: ~out(i) & (out(i + 1) | (level(i) != level(i + 1))))
 
     def run(start: Column, end: Column) -> Column:
-        words = F.array_join(F.transform(F.slice(lines, start + 1, end - start + 1), lambda x: x["body"]), " ")
-        return F.struct(level(start).alias("level"), F.md5(F.lower(F.trim(F.regexp_replace(words, r"\s+", " "))).cast("binary")).alias("key"))
+        bodies = F.transform(F.slice(lines, start + 1, end - start + 1), lambda x: x["body"])
+        each = F.transform(F.filter(bodies, lambda x: x.rlike(r"[\p{L}\p{N}]")), lambda x: F.xxhash64(_plain(x)))
+        return F.struct(level(start).alias("level"), F.md5(_plain(F.array_join(bodies, " ")).cast("binary")).alias("key"), each.alias("lines"))
 
     return F.zip_with(starts, ends, run)
 
 
 def own_text(lines: str) -> Column:
     """The message without quotations and without lines that announce one."""
-    level = lambda i: F.coalesce(F.get(lines, i)["level"], F.lit(0))
-    kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~(x["body"].rlike(_ANNOUNCES) & ((level(i + 1) > 0) | (level(i + 2) > 0))))
+    kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~_announces(lines, x, i))
     return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
 
 
+def _origins(units: DataFrame) -> DataFrame:
+    """Quoted passages (conv_id, turn, level, key) with the earlier turn they come from, or null."""
+    own = units.filter("level = 0")
+    whole = own.groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
+    single = own.select("conv_id", "turn", F.explode("lines").alias("line")).groupBy("conv_id", "line").agg(F.min("turn").alias("line_origin"))
+    earlier = lambda c: F.when(F.col(c) < F.col("turn"), F.col(c))
+    quotes = units.filter("level > 0").distinct().join(whole, ["conv_id", "key"], "left").withColumn("origin", earlier("origin"))
+    # one row a line where the run as a whole is not found, one row in all where it is
+    by_line = quotes.withColumn("line", F.explode_outer(F.when(F.col("origin").isNull(), F.col("lines")))).join(single, ["conv_id", "line"], "left").withColumn("line_origin", earlier("line_origin"))
+    found = by_line.groupBy("conv_id", "turn", "level", "key", "lines").agg(F.max("origin").alias("origin"), F.count("line").alias("n"), F.count("line_origin").alias("n_found"), F.max("line_origin").alias("line_origin"))
+    origin = F.coalesce("origin", F.when((F.col("n") > 0) & (F.col("n") == F.col("n_found")), F.col("line_origin")))
+    return found.groupBy("conv_id", "turn", "level", "key").agg(F.max(origin).alias("origin"))
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """Root and depth of every message that has a parent, by pointer jumping: rounds grow as the logarithm of the depth."""
     state = materialise(parents.select("conv_id", "turn", F.col("parent_turn").alias("up"), F.lit(1).cast("long").alias("depth")), "up")
@@ -59,8 +84,9 @@ def _roots(parents: DataFrame) -> DataFrame:
 def link_quotations(messages: DataFrame) -> DataFrame:
     """Each message with the message it replies to, its place in the conversation in reply order, and its own text.
 
-    A passage is a run of lines of one level. The normalised passages of own text are indexed by conversation and hash,
-    the first turn winning; quoted passages look themselves up there. A message replies to the latest of the earlier
+    A passage is a run of lines of one level. The normalised passages of own text and each of their lines are indexed by
+    conversation and hash, the first turn winning; quoted passages look themselves up there. One that is not found as a
+    whole comes from the latest of the turns of its lines, if all of its lines with a letter or digit are found. A message replies to the latest of the earlier
     turns that its passages of level 1 come from; without one it begins a thread. A parent is always earlier, so
     threads have no cycles. Threads stand in the order of their first turns, messages of a thread in the order of turns.
 
@@ -72,10 +98,8 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     """
     parsed = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", quoted_lines(text_of()).alias("lines"))
     rows = materialise(parsed.select("conv_id", "turn", "role", own_text("lines").alias("text"), passages("lines").alias("passages")), "messages")
-    units = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.key")
-    originals = units.filter("level = 0").groupBy("conv_id", "key").agg(F.min("turn").alias("origin"))
-    quotes = units.filter("level > 0").distinct()
-    linked = quotes.join(originals, ["conv_id", "key"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    units = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.key", "p.lines")
+    linked = _origins(units)
     per_message = materialise(
         linked.groupBy("conv_id", "turn").agg(F.max(F.when(F.col("level") == 1, F.col("origin"))).alias("parent_turn"), F.count(F.lit(1)).alias("n_quotes"), F.count("origin").alias("n_linked")), "replies"
     )

@@ -152,6 +152,19 @@ def test_quotation(spark):
     assert quotation.link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_partial_quotations(spark):
+    first = "Shall we meet on Monday?\nI have time.\nBring the book."
+    texts = [
+        first, "> I have TIME.\nGood.", "> Shall we meet on Monday?\n> [...]\n> Bring the  book.\nYes.", "Yes, noon is fine.\nOn Monday A wrote:\n> Bring the book.", "> Yes, noon is fine.\nSee you.",
+        "> Yes, noon is fine.\n> On Monday A wrote:\n> > Bring the book.\nFine.", "> I have time.\n> but never said this\nHm.", "> See you.\n> I have time.\nOK.", "> ...\nWhat?",
+    ]
+    got = quotation.link_quotations(spark.createDataFrame([(1, i, "u", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()
+    one = {r.turn: r for r in got}
+    assert [one[t].parent_turn for t in range(9)] == [None, 0, 0, 0, 3, 3, None, 4, None]
+    assert [(one[t].n_quotes, one[t].n_linked) for t in range(9)] == [(0, 0), (1, 1), (1, 1), (1, 1), (1, 1), (2, 2), (1, 0), (1, 1), (1, 0)]
+    assert one[3].text == "Yes, noon is fine." and one[5].text == "Fine."
+
+
 # 5
 
 
