@@ -21,8 +21,9 @@ KINDS = [*PATTERNS, "term"]
 
 #: Code points of context on either side of protected data, and length of a term from which on it counts.
 CONTEXT, LEAST_TERM = 80, 3
-#: A term goes if it gives away this share of the information in an entity, seen in so many different contexts of it.
-DISCLOSURE, SUPPORT = 0.9, 3
+#: A term goes if it gives away this share of the information in an entity, seen in so many different contexts of it:
+#: the least that tells two texts from copies of one.
+DISCLOSURE, SUPPORT = 0.9, 2
 #: Rows and terms of the affected documents up to which they are broadcast.
 MOST_BROADCAST = 200_000
 
@@ -68,10 +69,12 @@ def _contexts(found: DataFrame) -> DataFrame:
     named = lambda kind: lambda s: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))
     spans = F.concat(*(F.transform(F.col(k), named(k)) for k in PATTERNS))
     places = found.filter(" OR ".join(f"size({k}) > 0" for k in PATTERNS)).select("doc_id", "text", F.explode(spans).alias("s"))
-    left = F.substr("text", F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("s.start")))
-    right = F.substr("text", F.col("s.end") + 1, F.lit(CONTEXT))
-    # the outermost words may be cut: they go
-    inner = F.concat(F.regexp_replace(left, rf"^{_TERM}", ""), F.lit(" "), F.regexp_replace(right, rf"{_TERM}$", ""))
+    # one more code point on either side: where it belongs to a word, the window has cut that word, and it goes
+    left = F.substr("text", F.greatest(F.lit(1), F.col("s.start") - CONTEXT), F.least(F.lit(CONTEXT + 1), F.col("s.start")))
+    right = F.substr("text", F.col("s.end") + 1, F.lit(CONTEXT + 1))
+    whole_left = F.when(F.length(left) > CONTEXT, F.regexp_replace(left, rf"^{_TERM}", "")).otherwise(left)
+    whole_right = F.when(F.length(right) > CONTEXT, F.regexp_replace(right, rf"{_TERM}$", "")).otherwise(right)
+    inner = F.concat(whole_left, F.lit(" "), whole_right)
     return places.select("doc_id", F.col("s.entity").alias("entity"), _terms(inner).alias("terms"))
 
 

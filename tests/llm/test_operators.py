@@ -370,6 +370,23 @@ def test_pii_terms(spark):
     assert len(got[200].term) == 0 or got[200].sanitised == "[TERM] was here."
 
 
+def test_pii_terms_of_two_texts(spark):
+    """Two different texts are enough, and whole words at the ends of a text and of a window count."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = [(i, " ".join(word() for _ in range(30)), "en", "a") for i in range(60)]
+    texts += [(100 + i, f"Zorro {word()} boss@corp.example {word()} Tornado", "en", "a") for i in range(2)]
+    gap = lambda n: "," * n
+    texts += [(200 + i, f"{word()} Garcia{gap(60)}{word()}{gap(7)}two@corp.example{gap(75)}Diego {word()} Sancho", "en", "a") for i in range(2)]
+    texts += [(300 + i, f"xGarcilaso{gap(60)}{word()}{gap(7)}cut@corp.example{gap(75)}Quixote {word()}", "en", "a") for i in range(2)]
+    got = {r.doc_id: r for r in pii.find_personal_data(data.frame(spark, texts)).collect()}
+    named = lambda i: [texts_of[i][s.start : s.end] for s in got[i].spans]
+    texts_of = {i: t for i, t, *_ in texts}
+    assert named(100) == named(101) == ["Zorro", "boss@corp.example", "Tornado"]
+    assert [x for x in named(200) if "@" not in x] == ["Garcia", "Diego"]
+    assert all("@" in x for x in named(300)) and got[0].spans == []
+
+
 # 9
 
 
