@@ -25,15 +25,14 @@ SKETCH_FLOOR = 0.58
 #: A pair is linked if the sets share at least so many hundredths of their union.
 LINK_PERCENT = 75
 
-#: Samples and bits of the longer sketches of documents that the rounds leave in mixed buckets, and the floor for them, over 4 standard errors too.
-LONG_SAMPLES, LONG_BITS, LONG_FLOOR = 512, 2048, 0.66
-#: Rounds in which each mixed bucket pairs some of its members with the others, and members drawn in each round but the first.
-ROUNDS, DRAWS = 2, 4
+#: Members of a bucket that a task compares with as many others by sketch, and shingles that a task compares with as many others exactly.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 8192, 2_000_000
 #: Ids of documents in candidate pairs are broadcast up to so many (8 bytes each).
 MOST_BROADCAST = 2_000_000
+#: Keys of at least this many rows, and of at least a share of one in MOST_HOT of all rows, are looked up from a broadcast table: at most MOST_HOT rows.
+LEAST_HOT, MOST_HOT = 1000, 100_000
 
 _PARITY = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-_LONG = [f"t{i}" for i in range(LONG_BITS // 64)]
 _SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, " + ", ".join(f"{s} long" for s in _PARITY)
 
 
@@ -62,14 +61,14 @@ def _minima(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def long_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Odd sketches of more samples and bits, with functions of their own."""
-    a, b = _functions(LONG_SAMPLES, 20140408)
+def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole shingle set of each document."""
     hashes = WordHashes()
     for batch in slices(batches):
-        rows = [odd_sketch(_minima(shingle_set(text, hashes), a, b), LONG_BITS) for text in as_bytes(batch.column(1))]
-        sketch = np.array(rows, np.int64).reshape(-1, len(_LONG))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(_LONG)))], ["node", *_LONG])
+        for start in range(0, batch.num_rows, 32):
+            part = batch.slice(start, 32)
+            sets = [shingle_set(text, hashes).view(np.int64) for text in as_bytes(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,22 +118,101 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
 
-def _close(left: str, right: str) -> Column:
-    """Sizes and sketches of two sides allow the similarity."""
-    n, m = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-    return (100 * F.least(n, m) >= LINK_PERCENT * F.greatest(n, m)) & (_odd(left, right, _PARITY) <= most_odd_bits())
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of lists of one length as rows of a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _odd(left: str, right: str, columns: list[str]) -> Column:
-    """Population count of the XOR of two sketches."""
-    parts = [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in columns]
-    return sum(parts[1:], parts[0])
+def candidates_of_task(members: pa.Table) -> pa.Table:
+    """Members of a bucket, or of two blocks of it, that have a partner of another component whose size and sketch allow the similarity.
+
+    A pair counts in the first band that it shares only. Whole rows of XOR population counts are built, in strips of
+    bounded size; pairs never leave the task.
+    """
+    band = members.column("band")[0].as_py()
+    component, size = members.column("component").to_numpy(), members.column("n_shingles").to_numpy()
+    side, bands = members.column("side").to_numpy(), _matrix(members.column("bands"), BANDS)
+    sketch = np.stack([members.column(s).to_numpy().view(np.uint64) for s in _PARITY], axis=1)
+    here = np.zeros(len(component), bool)
+    for left, right in _sides(component, side):
+        strip = max(1, 2_000_000 // (len(right) * sketch.shape[1] + 1))
+        for start in range(0, len(left), strip):
+            x = left[start : start + strip]
+            odd = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
+            least, most = np.minimum(size[x][:, None], size[right][None]), np.maximum(size[x][:, None], size[right][None])
+            i, j = np.nonzero((odd <= most_odd_bits()) & (100 * least >= LINK_PERCENT * most) & (component[x][:, None] != component[right][None]))
+            i, j = x[i], right[j]
+            shared = bands[i] == bands[j]
+            first = bands[i, shared.argmax(axis=1)] == band
+            here[i[first]] = here[j[first]] = True
+    rows = np.flatnonzero(here)
+    return pa.table({"band": pa.array(np.full(len(rows), band, np.int64)), "node": members.column("node").take(pa.array(rows)), "component": members.column("component").take(pa.array(rows))})
+
+
+def _sides(component: np.ndarray, side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Left and right rows whose pairs hold all pairs of different components: block against block, or in one block all outside the largest component against all."""
+    if side.any():
+        return [(np.flatnonzero(side == 0), np.flatnonzero(side == 1))]
+    names, counts = np.unique(component, return_counts=True)
+    return [(np.flatnonzero(component != names[counts.argmax()]), np.arange(len(component)))]
+
+
+def links_of_task(members: pa.Table) -> pa.Table:
+    """Links between members of different components by their whole shingle sets; of links that join the same components one is enough."""
+    node, component, side = (members.column(c).to_numpy() for c in ("node", "component", "side"))
+    lists = members.column("shingles").combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    order = np.argsort(size, kind="stable")
+    names, codes = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    sets = [codes[edges[i] : edges[i + 1]] for i in order]
+    node, component, side, size = node[order], component[order], side[order], size[order]
+    joined, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
+    ids, root = np.unique(component, return_inverse=True)
+    root, held = root.copy(), np.zeros(len(names), bool)
+    out: list[tuple[int, int]] = []
+    for left, right in _sides(component, side):
+        wanted = np.zeros(len(node), bool)
+        wanted[right] = True
+        for x in left.tolist():
+            # of similar enough sets the smaller has at least LINK_PERCENT of the larger
+            lo = np.searchsorted(size, -(-LINK_PERCENT * size[x] // 100), "left")
+            hi = np.searchsorted(size, 100 * size[x] // LINK_PERCENT, "right")
+            if hi <= lo or not (wanted[lo:hi] & (root[lo:hi] != root[x])).any():
+                continue
+            held[sets[x]] = True
+            both = np.add.reduceat(held[joined[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+            held[sets[x]] = False
+            near = lo + np.flatnonzero(wanted[lo:hi] & (100 * both >= LINK_PERCENT * (size[x] + size[lo:hi] - both)))
+            for y in near.tolist():
+                if root[x] != root[y]:
+                    out.append((node[x], node[y]))
+                    root[root == root[y]] = root[x]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _in_blocks(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Members of a bucket dealt to tasks (band, i, j) that hold every two of its blocks; side tells the second block."""
+    sums = members.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    dealt = with_hot(members, sums, ["band"]).select(*members.columns, block, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.withColumn("side", (F.col("block") > F.col("other")).cast("int")).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other")
+
+
+def with_hot(rows: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
+    """Join rows to ``named``, which has one row a key with its number of rows in ``members``: a hot key meets its rows where they are."""
+    named = materialise(named, "named")
+    total = named.agg(F.sum("members").alias("n")).first()["n"] or 0
+    hot = F.col("members") >= max(LEAST_HOT, total // MOST_HOT)
+    few = F.broadcast(named.filter(hot))
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(named.filter(~hot), keys))
 
 
-def _first_shared(left: str, right: str) -> Column:
-    """The first band that two documents share: a pair comes out of that bucket only."""
-    other = F.col(f"{right}.bands")
-    return F.get(F.filter(F.col(f"{left}.bands"), lambda v, i: v == F.get(other, i)), F.lit(0))
+def _close(left: str, right: str) -> Column:
+    """Sizes and sketches of two sides allow the similarity."""
+    n, m = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
+    parts = [F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in _PARITY]
+    return (100 * F.least(n, m) >= LINK_PERCENT * F.greatest(n, m)) & (sum(parts[1:], parts[0]) <= most_odd_bits())
 
 
 def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -154,12 +232,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Size of each document's shingle set, its group of near-duplicates, and whether it is the one that stays.
 
     1. One pass gives MinHash bands, odd sketch and fingerprint; equal sets collapse to one node.
-    2. In every shared band one member is paired with the others, as many pairs as members: first the most central
-       (largest sum of bucket sizes), then drawn ones, as long as the bucket holds several components. Odd sketches drop
-       hopeless pairs, full sets confirm the rest, components follow.
-    3. Buckets that still hold several components are joined with themselves; only pairs of different components that
-       pass size and both sketches, the second one longer, come out, once each, and are confirmed likewise. So every pair that shares a band is either inside a
-       component already or checked, and a large group of copies costs its size, not its square.
+    2. In every shared band the most central member (largest sum of bucket sizes) is paired with the others, as many
+       pairs as members. Odd sketches drop hopeless pairs, full sets confirm the rest, components follow.
+    3. Buckets that still hold several components are dealt to tasks by blocks. A task compares the odd sketches of its
+       members of different components and names those with a partner; the whole sets of these are dealt to tasks once
+       more, which let out one confirmed link for every two components that they join. So every pair that shares a band
+       is either inside a component already or checked, but neither pairs nor texts of pairs are ever rows. A bucket
+       of m members of which k are outside its largest component costs k * m XORs inside tasks, and its rows are copied
+       once for every BLOCK_MEMBERS of m.
 
     Null or blank text: empty set, linked with nothing. Null doc_id: linked with nothing, component null, kept. Rows
     that share a doc_id count as one document in links. Repeated rows: each is returned. Empty table: no rows. Columns
@@ -169,57 +249,63 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     seen = materialise(texts.mapInArrow(signatures, _SIGNATURE), "signatures")
     able = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     print_of = ["n_shingles", "fp1", "fp2"]
-    classes = able.groupBy(*print_of).agg(F.min("doc_id").alias("node"))
-    nodes = materialise(able.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *print_of]).withColumnRenamed("doc_id", "node").drop("fp1", "fp2"), "nodes")
+    classes = materialise(able.groupBy(*print_of).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members")), "classes")
+    first = able.dropDuplicates(["doc_id", *print_of]).join(classes.select(*print_of, F.col("node").alias("doc_id")), ["doc_id", *print_of])
+    nodes = materialise(first.withColumnRenamed("doc_id", "node").drop("fp1", "fp2"), "nodes")
     texts = texts.filter("doc_id IS NOT NULL")
 
     spread = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = materialise(spread.join(shared, "band"), "buckets")
+    buckets = materialise(with_hot(spread, shared, ["band"]), "buckets")
     weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
     sketches = nodes.drop("bands")
     groups = nodes.select("node", F.col("node").alias("component")).limit(0)
-    tried = groups.toDF("a", "b")
 
     def placed() -> DataFrame:
         """Members of the buckets that hold several components, with their component."""
         now = buckets.join(groups, "node", "left").select("band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-        mixed = now.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("band")
-        return now.join(mixed, "band")
-
-    def link(pairs: DataFrame) -> None:
-        """Confirm pairs and merge the components."""
-        nonlocal groups, tried
-        tried = tried.union(pairs)
-        found = materialise(_confirm(pairs, texts), "links")
+        mixed = now.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).filter("least < most").select("band", "members")
+        return materialise(with_hot(now, mixed, ["band"]).drop("members"), "placed")
+
+    def link(found: DataFrame) -> None:
+        """Merge the components that links join."""
+        nonlocal groups
         if not found.isEmpty():
             groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
-    for turn in range(ROUNDS):
-        members = placed()
-        # the first centre is the most central member; then several are drawn: a member that one centre misses meets others
-        ranked = members.join(weight, "node") if turn == 0 else members
-        ranks = [F.col("weight")] if turn == 0 else [F.xxhash64("band", "node", F.lit(turn * DRAWS + i)) for i in range(DRAWS)]
-        tops = [F.max(F.struct(r.alias("rank"), "node", "component", "n_shingles")).alias(f"c{i}") for i, r in enumerate(ranks)]
-        centre = ranked.groupBy("band").agg(*tops).select("band", F.explode(F.array(*(f"c{i}" for i in range(len(tops))))).alias("c")).select("band", F.col("c.node").alias("a"), F.col("c.component").alias("of"), F.col("c.n_shingles").alias("m")).distinct()
-        rays = members.join(centre, "band").filter((F.col("component") != F.col("of")) & (100 * F.least("n_shingles", "m") >= LINK_PERCENT * F.greatest("n_shingles", "m"))).select("a", F.col("node").alias("b")).distinct()
-        near = rays.join(sketches.alias("y"), F.col("b") == F.col("y.node")).join(sketches.alias("x"), F.col("a") == F.col("x.node")).filter(_close("x", "y")).select("a", "b")
-        pairs = materialise(near.join(tried, ["a", "b"], "left_anti"), f"pairs{turn}")
-        if pairs.isEmpty():
-            break
-        link(pairs)
-
-    rest = placed().drop("n_shingles")
-    long = materialise(_only(texts, rest.select("node")).mapInArrow(long_sketches, "node long, " + ", ".join(f"{t} long" for t in _LONG)), "long")
-    rest = rest.join(nodes, "node").join(long, "node")
-    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _close("x", "y")
-    apart = apart & (_odd("x", "y", _LONG) <= most_odd_bits(LONG_FLOOR, LONG_SAMPLES, LONG_BITS)) & (F.col("x.band") == _first_shared("x", "y"))
-    more = rest.alias("x").join(rest.alias("y"), apart)
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = materialise(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "left")
-    if not left.isEmpty():
-        link(left)
-    named = classes.join(groups, "node", "left").select(*print_of, F.coalesce("component", "node").alias("component"))
-    return seen.join(named, print_of, "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))).otherwise(F.col("doc_id")).alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    # the most central member of a bucket is paired with the others
+    members = buckets.select("band", "node", "n_shingles")
+    top = F.max(F.struct("weight", "node", "n_shingles")).alias("c")
+    centre = members.join(weight, "node").groupBy("band").agg(top, F.count(F.lit(1)).alias("members"))
+    rays = with_hot(members, centre, ["band"]).filter((F.col("node") != F.col("c.node")) & (100 * F.least("n_shingles", "c.n_shingles") >= LINK_PERCENT * F.greatest("n_shingles", "c.n_shingles")))
+    rays = rays.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+    near = rays.join(sketches.alias("y"), F.col("b") == F.col("y.node")).join(sketches.alias("x"), F.col("a") == F.col("x.node")).filter(_close("x", "y")).select("a", "b")
+    link(materialise(_confirm(materialise(near.distinct(), "pairs"), texts), "links"))
+
+    rest = placed().drop("n_shingles").join(nodes, "node")
+    task = ["band", "i", "j"]
+    near = _in_blocks(rest, F.lit(1), BLOCK_MEMBERS).groupBy(*task).applyInArrow(candidates_of_task, "band long, node long, component long")
+    near = materialise(near.distinct(), "near")
+    sets = _only(texts, near.select("node")).mapInArrow(shingle_sets, "node long, shingles array<long>")
+    full = materialise(near.join(sets, "node"), "sets")
+    link(materialise(_in_blocks(full, F.size("shingles"), BLOCK_SHINGLES).groupBy(*task).applyInArrow(links_of_task, "a long, b long").distinct(), "links"))
+
+    named = classes.join(groups, "node", "left").select(*print_of, "members", F.coalesce("component", "node").alias("component_id"))
+    linked = with_hot(able.select("doc_id", *print_of), named, print_of).select("doc_id", "n_shingles", "component_id")
+    alone = seen.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+#: Links by counting common shingles of all pairs, and the smallest document reachable by recursion.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both_have >= 75 * (p.n + q.n - both_have)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, CAST(min(r.b) AS BIGINT) AS component_id, min(r.b) = d.doc_id AS kept
+FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import line_dedup, mixing, pii
+from quiver.llm import line_dedup, mixing, near_dedup, pii
 from quiver.llm.common import read_table
 from quiver.llm.decontamination import find_items
 from quiver.llm.license_scan import scan_licenses
-from quiver.llm.near_dedup import near_duplicates
 from quiver.llm.quality_classifier import score_quality
 from quiver.llm.quality_rules import apply_rules
 from quiver.llm.quotation import link_quotations
@@ -61,7 +60,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -78,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_near_dedup": near_dedup.ORACLE}

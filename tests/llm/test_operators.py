@@ -444,19 +444,40 @@ def test_near_duplicates(docs, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
 
 
-def test_near_duplicates_of_one_large_group(spark):
-    """Copies with many edits each: most links pass through others."""
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates_of_one_large_group(spark, monkeypatch, small):
+    """Copies with many edits each: most links pass through others. Small limits cut buckets into many blocks and make many keys hot."""
+    if small:
+        for name, value in {"BLOCK_MEMBERS": 20, "BLOCK_SHINGLES": 3000, "LEAST_HOT": 3}.items():
+            monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(10)
     base = [f"w{i}" for i in range(150)]
     texts = []
     for i in range(250):
         edited = [w if rng.random() > 0.018 else f"e{rng.randrange(10**6)}" for w in base]
         texts.append((i, " ".join(edited), "en", "a"))
+    texts += [(1000 + i, texts[0][1], "en", "a") for i in range(20)] + [texts[0]] * 5
     want = data.components(texts)
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(data.frame(spark, texts)).collect()}
     assert got == want and len(set(want.values())) < 250
 
 
+def test_rows_of_a_group_grow_linearly(spark, monkeypatch):
+    """Four times the near copies give about four times the rows that any step writes, and no link is lost."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    texts = [(i, " ".join(w if rng.random() > rng.choice((0.003, 0.02)) else f"e{rng.randrange(10**6)}" for w in base), "en", "a") for i in range(640)]
+    written = []
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, tag: [x := materialise(df, tag), written.append(x.count())][0])
+    most = []
+    for n in (160, 640):
+        written.clear()
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(data.frame(spark, texts[:n])).collect()}
+        assert got == data.components(texts[:n])
+        most.append(max(written))
+    assert most[1] <= 6 * most[0]
+
+
 def test_hash_of_kept_text_in_query(spark, tmp_path):
     from quiver.llm import queries
 
