@@ -6,18 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm.common import lower_ascii, materialise, text_of
-from quiver.llm.spans import find_spans, no_spans
+from quiver.llm.spans import bind, chunks, find_spans, no_spans, outside, replaced, stretch
 
-#: Patterns of the contract, in the order in which kinds are listed. An address can only begin where its run of
-#: characters begins or right after another match, which spares the search all later starts in a long run.
+#: Patterns of the contract, in the order in which kinds are listed. An email address can only begin where its run of
+#: characters begins or right after another match, an ip address where its digits begin, which spares the search all
+#: later starts in a long run; possessive repeats match the same and need no stack.
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
-    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
-    "card": r"[0-9](?:[ -]?[0-9])+",
+    "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
+    "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-KINDS = [*PATTERNS, "term"]
+#: A name of credentials and, behind an equals sign or colon, a long value with a digit.
+SECRET = r"""(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|auth[_-]?key|token|secret|passwd|password)["']?[ \t]?[:=][ \t]?["']?(?=[a-z+/_-]{0,64}[0-9])[a-z0-9+/_-]{16,}+"""
+#: What terms can give away.
+PROTECTED = PATTERNS | {"secret": SECRET}
+KINDS = [*PROTECTED, "term"]
 
 #: Code points of context on either side of protected data, and length of a term from which on it counts.
 CONTEXT, LEAST_TERM = 80, 3
@@ -54,9 +59,9 @@ def _holds(kind: str, value: Column) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans of each kind; a cheap look at the text spares most texts the search."""
-    gate = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][ -]?[0-9]"), "phone": F.contains(text, F.lit("+"))}
+    gate = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][ -]?[0-9]"), "phone": F.contains(text, F.lit("+")), "secret": text.rlike("(?i)key|token|secret|passw")}
     good = lambda kind: lambda s: _holds(kind, s["value"])
-    return {k: F.filter(F.when(gate[k], find_spans(text, p)).otherwise(no_spans()), good(k)) for k, p in PATTERNS.items()}
+    return {k: F.filter(F.when(gate[k], find_spans(text, p)).otherwise(no_spans()), good(k)) for k, p in PROTECTED.items()}
 
 
 def _terms(text: Column) -> Column:
@@ -67,15 +72,21 @@ def _terms(text: Column) -> Column:
 def _contexts(found: DataFrame) -> DataFrame:
     """One row per place of protected data: doc_id, entity, the terms around it."""
     named = lambda kind: lambda s: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))
-    spans = F.concat(*(F.transform(F.col(k), named(k)) for k in PATTERNS))
-    places = found.filter(" OR ".join(f"size({k}) > 0" for k in PATTERNS)).select("doc_id", "text", F.explode(spans).alias("s"))
-    # one more code point on either side: where it belongs to a word, the window has cut that word, and it goes
-    left = F.substr("text", F.greatest(F.lit(1), F.col("s.start") - CONTEXT), F.least(F.lit(CONTEXT + 1), F.col("s.start")))
-    right = F.substr("text", F.col("s.end") + 1, F.lit(CONTEXT + 1))
-    whole_left = F.when(F.length(left) > CONTEXT, F.regexp_replace(left, rf"^{_TERM}", "")).otherwise(left)
-    whole_right = F.when(F.length(right) > CONTEXT, F.regexp_replace(right, rf"{_TERM}$", "")).otherwise(right)
-    inner = F.concat(whole_left, F.lit(" "), whole_right)
-    return places.select("doc_id", F.col("s.entity").alias("entity"), _terms(inner).alias("terms"))
+    spans = F.concat(*(F.transform(F.col(k), named(k)) for k in PROTECTED))
+
+    def around(pieces: Column, size: Column, s: Column) -> Column:
+        # one more code point on either side: where it belongs to a word, the window has cut that word, and it goes
+        left = stretch(pieces, F.greatest(F.lit(0), s["start"] - CONTEXT - 1), s["start"])
+        right = stretch(pieces, s["end"], F.least(size, s["end"] + CONTEXT + 1))
+        whole_left = F.when(F.length(left) > CONTEXT, F.regexp_replace(left, rf"^{_TERM}", "")).otherwise(left)
+        whole_right = F.when(F.length(right) > CONTEXT, F.regexp_replace(right, rf"{_TERM}$", "")).otherwise(right)
+        return F.struct(s["entity"].alias("entity"), F.concat(whole_left, F.lit(" "), whole_right).alias("inner"))
+
+    # windows are cut before they become rows: no row holds the text
+    cut = F.struct(chunks(F.col("text")).alias("pieces"), F.length("text").alias("size"))
+    windows = bind(cut, lambda c: F.transform(spans, lambda s: around(c["pieces"], c["size"], s)))
+    places = found.filter(" OR ".join(f"size({k}) > 0" for k in PROTECTED)).select("doc_id", F.explode(windows).alias("s"))
+    return places.select("doc_id", F.col("s.entity").alias("entity"), _terms(F.col("s.inner")).alias("terms"))
 
 
 def disclosing_terms(found: DataFrame) -> DataFrame:
@@ -105,8 +116,9 @@ def disclosing_terms(found: DataFrame) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Spans of personal data in each document, and the text without them.
 
-    Spans are of the kinds of PATTERNS, plus ``term``: a whole word that discloses an entity by corpus co-occurrence,
-    wherever it stands outside the other spans. Patterns become their kind in brackets, terms are generalised to [TERM].
+    Spans are of the kinds of PROTECTED, plus ``term``: a whole word that discloses an entity by corpus co-occurrence,
+    wherever it stands outside the other spans. Patterns become their kind in brackets, terms are generalised to [TERM];
+    of overlapping spans the first stands for all. Work grows as n * log(n) of the spans of a text.
 
     Null or empty text: no spans. Null doc_id: patterns are found, terms are not. Rows that share a doc_id share their
     terms. Repeated rows: the same spans. Empty table: no rows. Columns besides doc_id and text are ignored. Returns
@@ -122,24 +134,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     joined = found.join(F.broadcast(hits) if size <= MOST_BROADCAST else hits, "doc_id", "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     places = F.when(F.col("terms").isNull(), no_spans()).otherwise(find_spans(lower_ascii(F.col("text")), pattern))
-    base = joined.select("*", places.alias("places"), F.concat(*PATTERNS).alias("base"))
-    free = F.filter("places", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    apart = base.select("doc_id", "text", *PATTERNS, free.alias("term"))
+    base = joined.select("*", places.alias("places"), F.concat(*PROTECTED).alias("base"))
+    apart = base.select("doc_id", "text", *PROTECTED, outside(F.col("places"), F.col("base")).alias("term"))
     tagged = lambda i: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("order"), F.lit(KINDS[i]).alias("kind"), s["end"].alias("end"))
     each = F.concat(*(F.transform(k, tagged(i)) for i, k in enumerate(KINDS)))
     spans = apart.select("*", F.array_sort(each).alias("spans"))
-    return spans.select("doc_id", *KINDS, "spans", _sanitised().alias("sanitised"))
-
-
-def _sanitised() -> Column:
-    """The text with every span replaced; of overlapping spans the first stands for all."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substr("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    return F.aggregate("spans", start, add, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))))
+    return spans.select("doc_id", *KINDS, "spans", replaced(F.col("text"), F.col("spans")).alias("sanitised"))
 
 
 def listed(spans: Column) -> Column:

@@ -50,8 +50,9 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
-    base = pii.listed(F.filter("spans", lambda s: s["kind"] != "term"))
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.PATTERNS), F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    base = pii.listed(F.filter("spans", lambda s: s["order"] < len(pii.PATTERNS)))
+    counts = (F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(F.encode(base, "UTF-8"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("private"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
