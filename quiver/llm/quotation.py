@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from quiver.llm.common import materialise, text_of
 
 #: Marks of quotation in front of a line, and the line that announces a quotation.
-_MARKS = r"^(?:[ \t]{0,3}>)+[ \t]?"
-_ANNOUNCES = r"(?i)^[ \t]*on .{1,200} wrote:[ \t\r]*$"
+_MARKS = r"^(?:[ \t]{0,3}>)++[ \t]?"
+_ANNOUNCES = r"(?i)^[ \t]*on .+ wrote:[ \t\r]*$"
 
 
 def quoted_lines(text: Column) -> Column:
@@ -53,7 +53,7 @@ def passages(lines: str) -> Column:
 def own_text(lines: str) -> Column:
     """The message without quotations and without lines that announce one."""
     kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~_announces(lines, x, i))
-    return F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
+    return F.trim(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), F.lit(" \t\n\x0b\f\r"))
 
 
 def _origins(units: DataFrame) -> DataFrame:
