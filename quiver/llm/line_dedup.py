@@ -18,10 +18,12 @@ ship_by_value(__name__)
 
 #: A line counts from so many code points on, and goes if so many documents hold it.
 LEAST_CHARS, LEAST_DOCS = 40, 5
-#: Keys that a shard of the hash holds on average, which bounds what a task builds and probes.
-SHARD_KEYS = 50_000
-#: Parts that the probes of a shard are dealt to, so that a line of very many documents spreads.
-PROBE_PARTS = 64
+#: Keys that a shard of the hash holds on average, which bounds what a task builds and holds.
+SHARD_KEYS = 100_000
+#: Probes that one copy of a shard answers; a shard with a line of very many documents is copied more often.
+PROBES_OF_COPY = 1_000_000
+#: Shards whose number of copies is broadcast; beyond, it is joined.
+MOST_BROADCAST = 100_000
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -39,7 +41,7 @@ class PerfectHash:
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)).astype(np.int64)
+        return (mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
@@ -110,9 +112,14 @@ def line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "h", "fingerprint"])
 
 
+def _compact(fingerprints: np.ndarray) -> np.ndarray:
+    """32 bits of a fingerprint."""
+    return (fingerprints.astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def build_shard(keys: pd.DataFrame) -> pd.DataFrame:
-    """One shard: the perfect hash of its keys, and by its index the fingerprints, counts and largest documents."""
-    # of keys that share the 64 bits of h, which 1e9 lines do once in 37 tables, the later ones get shards of their own
+    """One shard: the perfect hash of its keys, and by its index compact fingerprints, counts up to 255 and largest documents."""
+    # of keys that share the 64 bits of h, which 1e9 lines do once in 37 tables, the later ones get hashes of their own
     order = keys.groupby("h").cumcount().to_numpy()
     rows = []
     for layer in range(int(order.max()) + 1):
@@ -121,36 +128,36 @@ def build_shard(keys: pd.DataFrame) -> pd.DataFrame:
         phf = PerfectHash.build(h)
         at = phf(h)
         arrays = []
-        for name in ("fingerprint", "n", "last"):
-            x = np.zeros(len(h), np.int64)
-            x[at] = part[name].to_numpy(np.int64)
+        for values in (_compact(part["fingerprint"].to_numpy()), np.minimum(part["n"].to_numpy(), 255).astype(np.uint8), part["last"].to_numpy(np.int64)):
+            x = np.zeros(len(h), values.dtype)
+            x[at] = values
             arrays.append(x.tobytes())
         rows.append((int(keys["shard"].iloc[0]), phf.to_bytes(), *arrays))
     return pd.DataFrame(rows, columns=["shard", "phf", "fingerprints", "counts", "lasts"])
 
 
 def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of (shard, part): the shard's arrays stand first, then (doc_id, h, fingerprint) rows probe them."""
+    """Sorted rows of (shard, part): the shard's arrays stand first, then (doc_id, h, fingerprint) rows probe them, and those of dropped lines come out."""
     held, of = [], None
     for batch in batches:
         shard, part = batch.column("shard").to_numpy(), batch.column("part").to_numpy()
         is_index = batch.column("phf").is_valid().to_numpy(zero_copy_only=False)
-        code = shard.astype(np.int64) * PROBE_PARTS + part
-        edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+        edges = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(shard)]
         doc, h, fp = (batch.column(c).fill_null(0).to_numpy() for c in ("doc_id", "h", "fingerprint"))
-        drop = np.zeros(len(code), bool)
+        drop = np.zeros(len(shard), bool)
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             if start == end:
                 continue
-            if code[start] != of:
-                held, of = [], code[start]
+            if (shard[start], part[start]) != of:
+                held, of = [], (shard[start], part[start])
             for i in start + np.flatnonzero(is_index[start:end]):
-                held.append((PerfectHash.from_bytes(batch.column("phf")[int(i)].as_py()), *(np.frombuffer(batch.column(c)[int(i)].as_py(), np.int64) for c in ("fingerprints", "counts", "lasts"))))
+                kinds = (("fingerprints", np.uint32), ("counts", np.uint8), ("lasts", np.int64))
+                held.append((PerfectHash.from_bytes(batch.column("phf")[int(i)].as_py()), *(np.frombuffer(batch.column(c)[int(i)].as_py(), t) for c, t in kinds)))
             here = start + np.flatnonzero(~is_index[start:end])
             for phf, fingerprints, counts, lasts in held if len(here) else ():
                 at = phf(h[here].view(np.uint64))
                 known = np.maximum(at, 0)
-                drop[here] |= (at >= 0) & (fingerprints[known] == fp[here]) & (counts[known] >= LEAST_DOCS) & (lasts[known] != doc[here])
+                drop[here] |= (at >= 0) & (fingerprints[known] == _compact(fp[here])) & (counts[known] >= LEAST_DOCS) & (lasts[known] != doc[here])
         yield pa.RecordBatch.from_arrays([pa.array(doc[drop]), pa.array(h[drop]), pa.array(fp[drop])], ["doc_id", "h", "fingerprint"])
 
 
@@ -170,9 +177,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """Documents without the long lines that many documents hold; the largest doc_id of a line keeps it.
 
     1. The distinct long lines of each document, as 128-bit hashes, are counted over documents.
-    2. Lines at or over the threshold are dealt to shards by hash; each builds its minimal perfect hash and arrays.
-    3. The documents' hashes are dealt to (shard, part), where they stream past the shard's arrays: memory holds one
-       shard, and no line is joined with its copies. A line of very many documents goes to PROBE_PARTS parts.
+    2. All distinct line hashes are dealt to shards; each builds its minimal perfect hash and arrays of fingerprints,
+       counts and largest documents, 13 bytes and a few bits a line.
+    3. The documents' hashes are dealt to (shard, part), where they stream past the shard's arrays, whose counts decide:
+       memory holds one shard, and no line is joined with its copies. A shard has a copy for every PROBES_OF_COPY probes,
+       so a line of very many documents spreads.
+
+    A line that is told from others by fewer bits than it has would need two lines that agree in 96 bits of their hash.
 
     Null or empty text: one empty line. Null doc_id: its lines neither count nor go. Rows that share a doc_id count as
     one document. Empty table: no rows. Columns besides doc_id and text are ignored. Returns doc_id, n_lines,
@@ -181,13 +192,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     lines = materialise(texts.filter("doc_id IS NOT NULL").mapInArrow(line_hashes, "doc_id long, h long, fingerprint long"), "lines")
     once = lines.distinct()
-    common = materialise(once.groupBy("h", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).filter(F.col("n") >= LEAST_DOCS), "common")
-    shards = 1 + common.count() // SHARD_KEYS
+    counted = materialise(once.groupBy("h", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")), "counted")
+    shards = 1 + counted.count() // SHARD_KEYS
     shard = F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard")
-    index = common.select(shard, "h", "fingerprint", "n", "last").groupBy("shard").applyInPandas(build_shard, "shard int, phf binary, fingerprints binary, counts binary, lasts binary")
-    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PROBE_PARTS)).cast("int")
-    asked = once.select(shard, part.alias("part"), F.lit(1).alias("turn"), "doc_id", "h", "fingerprint", *(F.lit(None).cast("binary").alias(c) for c in ("phf", "fingerprints", "counts", "lasts")))
-    held = index.select("shard", F.explode(F.array(*map(F.lit, range(PROBE_PARTS)))).alias("part"), F.lit(0).alias("turn"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "h", "fingerprint")), "phf", "fingerprints", "counts", "lasts")
+    keys = counted.select(shard, "h", "fingerprint", "n", "last")
+    copies = materialise(keys.groupBy("shard").agg(F.ceil(F.sum("n") / PROBES_OF_COPY).cast("int").alias("copies")), "copies")
+    copies = F.broadcast(copies) if shards <= MOST_BROADCAST else copies
+    index = keys.groupBy("shard").applyInPandas(build_shard, "shard int, phf binary, fingerprints binary, counts binary, lasts binary")
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("phf", "fingerprints", "counts", "lasts")]
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("copies")).cast("int").alias("part")
+    asked = once.select(shard, "doc_id", "h", "fingerprint").join(copies, "shard").select("shard", part, F.lit(1).alias("turn"), "doc_id", "h", "fingerprint", *empty)
+    each = F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part")
+    held = index.join(copies, "shard").select("shard", each, F.lit(0).alias("turn"), *(F.lit(None).cast("long").alias(c) for c in ("doc_id", "h", "fingerprint")), "phf", "fingerprints", "counts", "lasts")
     dealt = held.unionByName(asked).repartition("shard", "part").sortWithinPartitions("shard", "part", "turn")
     gone = materialise(dealt.mapInArrow(probe, "doc_id long, h long, fingerprint long").groupBy("doc_id").agg(F.collect_set(F.struct("h", "fingerprint")).alias("gone")), "gone")
     # a merge join at every size: the texts move once, and no plan changes as the table grows
