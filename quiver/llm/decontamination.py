@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiver.llm.common import ship_by_value, text_of, word_count
-from quiver.llm.shingles import WordHashes, as_bytes, mix, shingles, slices
+from quiver.llm.shingles import SHINGLE, WordHashes, as_bytes, shingles, slices
 
 ship_by_value(__name__)
 
@@ -25,8 +25,8 @@ BLOCK_WORDS = 2_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def _shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
-    return shingles(hashes.of(text.translate(_FOLD).split()))
+def _words(text: bytes, hashes: WordHashes) -> np.ndarray:
+    return hashes.of(text.translate(_FOLD).split())
 
 
 def _hash_functions() -> tuple[np.ndarray, np.ndarray]:
@@ -35,17 +35,22 @@ def _hash_functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 class ItemIndex:
-    """MinHash samples of items, each item in the partition of its size (powers of two)."""
+    """MinHash samples of items, each item in the partition of its size (powers of two); an item of fewer words than a shingle has is one shingle of that width."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
         a, b = _hash_functions()
         hashes = WordHashes()
         self.ids, self.sets, self.signatures, self.widths = [], [], [], []
+        self.short: dict[int, dict[int, list[int | None]]] = {}
         samples, owners = [], []
         for item_id, text in items:
-            found = np.unique(_shingles(text, hashes))
+            words = _words(text, hashes)
+            found = np.unique(shingles(words))
             if not len(found):
                 continue
+            if len(words) < SHINGLE:
+                self.short.setdefault(len(words), {}).setdefault(int(found[0]), []).append(item_id)
+                continue
             values = a * found + b
             low = values.argmin(axis=1)
             samples.append(np.unique(found[low])), owners.append(np.full(len(samples[-1]), len(self.ids)))
@@ -55,6 +60,10 @@ class ItemIndex:
         self.samples, self.owners = samples[order], owners[order].astype(np.int64)
         self.keys = np.unique(self.samples)
 
+    def short_items(self, words: np.ndarray) -> list[int | None]:
+        """Short items whose words stand consecutively."""
+        return [item for width, known in self.short.items() for h in np.unique(shingles(words, width)).tolist() for item in known.get(h, ())] if len(words) else []
+
     def candidates(self, places: np.ndarray) -> set[int]:
         """Items that share a MinHash sample with a window of the document.
 
@@ -90,8 +99,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are runs of letters and digits without case, so line breaks and punctuation don't hide a passage. The items
     are a query set: they are cut into blocks of bounded size, and each block is sent past all documents once.
 
-    Null or empty texts of either side: in no pair. An item of fewer words than a shingle has is one shingle, found
-    only in a document that is just these words. Null doc_id or item_id: reported as such. Items that share an id count
+    Null or empty texts of either side: in no pair. An item of fewer words than a shingle has is one shingle of its own
+    width, found wherever its words stand together. Null doc_id or item_id: reported as such. Items that share an id count
     as one with the best containment. Repeated documents: one pair. Empty tables: no rows. Columns besides doc_id, text
     and item_id, text are ignored. Returns doc_id, item_id, n_shingles, n_contained, containment.
     """
@@ -111,7 +120,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in slices(batches):
                 out: tuple[list, ...] = ([], [], [], [])
                 for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                    places = _shingles(text, hashes)
+                    words = _words(text, hashes)
+                    for item in known.short_items(words):
+                        for column, value in zip(out, (doc, item, 1, 1), strict=True):
+                            column.append(value)
+                    places = shingles(words)
                     near = known.candidates(places)
                     whole = np.unique(places) if near else places
                     for i in sorted(near):

@@ -47,12 +47,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
+def shingles(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     """Hash of the shingle at each place; of fewer words than a shingle has, one hash of them all; of no words, none."""
     n = len(words)
     if n == 0:
         return words
-    width = min(n, SHINGLE)
+    width = min(n, width)
     out = np.full(n - width + 1, width, np.uint64)
     for j in range(width):
         out = out * np.uint64(_ODD) + words[j : n - width + 1 + j]
