@@ -99,11 +99,11 @@ def _is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame) -> PairwiseModel | None:
     """Learn from labelled documents outside the held-out third; at most TRAIN_ROWS rows reach the driver."""
     known = (
-        labels.select("doc_id", F.col("quality").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(~_is_held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+        labels.select("doc_id", F.col("quality").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)").filter(~_is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     )
     named = features(text_of())
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", *(c.cast("double").alias(n) for n, c in named.items())).orderBy("doc_id", *NAMES).limit(2 * TRAIN_ROWS).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "label", *(c.cast("double").alias(n) for n, c in named.items())).orderBy(F.xxhash64("doc_id"), "doc_id", *NAMES).limit(2 * TRAIN_ROWS).collect()
     x = np.array([[r[n] for n in NAMES] for r in rows], float).reshape(-1, len(NAMES))
     return fit_pairs(x, np.array([r["label"] for r in rows], int))
 
@@ -112,7 +112,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, extra: list[str] | None =
     """Score every document from its whole text with a model learned from pairs of labelled documents.
 
     Labels of documents with crc32(doc_id) mod 3 = 1 are never read. Null or empty text: all features are 0 and the
-    score follows from that. Null doc_id: scored, not held out. Repeated rows: the same score. No usable label, or only
+    score follows from that. Null doc_id: scored, not held out. Repeated rows: the same score. Labels that contradict
+    each other count as bad. No usable label, or only
     one class: score 0.5. Empty table: no rows. ``extra`` columns of the documents are passed on. Returns doc_id,
     held_out, score, predicted.
     """
