@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quiver.llm.common import ship_by_value, text_of
+from quiver.llm.common import materialise, ship_by_value, text_of
 
 ship_by_value(__name__)
 
@@ -68,7 +68,8 @@ def shard_documents(docs: DataFrame, shards: int, runs: int = 256) -> DataFrame:
         (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
     ).withColumn("order_key", F.xxhash64("doc_id", "text_crc32", "size"))
-    rows = rows.withColumn("placed", jump_shards(F.xxhash64("doc_id"), shards)).select(
+    # written once: both the runs and their sizes read it, and the jumps are made once
+    rows = materialise(rows.withColumn("placed", jump_shards(F.xxhash64("doc_id"), shards)), "placed").select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "placed.shard", "placed.grown_shard", "order_key", F.pmod("order_key", F.lit(runs)).cast("int").alias("run")
     )
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
