@@ -27,6 +27,8 @@ LINK_PERCENT = 75
 
 #: Members of a bucket that a task compares with as many others by sketch, and shingles that a task compares with as many others exactly.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 8192, 2_000_000
+#: Rays of a bucket's centre that one copy of the centre meets.
+RAYS_OF_COPY = 1000
 #: Ids of documents in candidate pairs are broadcast up to so many (8 bytes each).
 MOST_BROADCAST = 2_000_000
 #: Keys of at least this many rows, and of at least a share of one in MOST_HOT of all rows, are looked up from a broadcast table: at most MOST_HOT rows.
@@ -221,10 +223,10 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, centres: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that hold on full sets. Texts of documents in no pair are left out before any shuffle."""
     needed = _only(texts, pairs.select("a").union(pairs.select("b")))
-    both = pairs.join(needed.toDF("b", "text_b"), "b").join(needed.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    both = pairs.join(needed.toDF("b", "text_b"), "b").join(centres.join(needed.toDF("a", "text_a"), "a"), ["a", "copy"]).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(confirmed, "a long, b long").distinct()
 
 
@@ -278,9 +280,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     top = F.max(F.struct("weight", "node", "n_shingles")).alias("c")
     centre = members.join(weight, "node").groupBy("band").agg(top, F.count(F.lit(1)).alias("members"))
     rays = with_hot(members, centre, ["band"]).filter((F.col("node") != F.col("c.node")) & (100 * F.least("n_shingles", "c.n_shingles") >= LINK_PERCENT * F.greatest("n_shingles", "c.n_shingles")))
-    rays = rays.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-    near = rays.join(sketches.alias("y"), F.col("b") == F.col("y.node")).join(sketches.alias("x"), F.col("a") == F.col("x.node")).filter(_close("x", "y")).select("a", "b")
-    link(materialise(_confirm(materialise(near.distinct(), "pairs"), texts), "links"))
+    rays = materialise(rays.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct(), "rays")
+    # a centre of very many rays is copied, and each copy meets a share of them
+    copies = F.ceil(F.col("members") / RAYS_OF_COPY).cast("int")
+    counts = materialise(rays.groupBy("a").agg(F.count(F.lit(1)).alias("members")), "counts")
+    centres = counts.select("a", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    rays = with_hot(rays, counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("copy"))
+    x = centres.join(sketches.withColumnRenamed("node", "a"), "a")
+    near = rays.alias("r").join(sketches.alias("y"), F.col("r.b") == F.col("y.node")).join(x.alias("x"), (F.col("r.a") == F.col("x.a")) & (F.col("r.copy") == F.col("x.copy"))).filter(_close("x", "y"))
+    link(materialise(_confirm(materialise(near.select("r.a", "r.b", "r.copy").distinct(), "pairs"), centres, texts), "links"))
 
     rest = placed().drop("n_shingles").join(nodes, "node")
     task = ["band", "i", "j"]
