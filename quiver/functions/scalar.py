@@ -110,7 +110,7 @@ def to_datetime(x: Typed) -> Typed:
     day, clock = r"^\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}"
     ntz = lambda fmt: lambda s: F.to_timestamp_ntz(s, F.lit(fmt))
     return Typed(
-        _parsed(x, "datetime", "timestamp_ntz", (rf"{day}T{clock}:\d{{2}}$", ntz("yyyy-MM-dd'T'HH:mm:ss")), (rf"{day} {clock}:\d{{2}}$", ntz("yyyy-MM-dd HH:mm:ss")), (rf"{day}T{clock}$", ntz("yyyy-MM-dd'T'HH:mm"))), "datetime"
+        _parsed(x, "datetime", "timestamp_ntz", (rf"{day}T{clock}:\d{{2}}$", ntz("yyyy-MM-dd'T'HH:mm:ss")), (rf"{day} {clock}:\d{{2}}$", ntz("yyyy-MM-dd HH:mm:ss")), (rf"{day}T{clock}$", ntz("yyyy-MM-dd'T'HH:mm")), (rf"{day}T{clock}:\d{{2}}\.\d{{1,6}}$", lambda s: s.cast("timestamp_ntz"))), "datetime"
     )
 
 

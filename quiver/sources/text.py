@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quiver.functions.scalar import duration_text
 from quiver.operators.mutations import stored_form
@@ -21,7 +22,7 @@ def _value(column: Column, of: T.DataType) -> Column:
     if isinstance(of, T.DateType):
         return F.concat(F.lit("DATE('"), column.cast("string"), F.lit("')"))
     if isinstance(of, T.TimestampNTZType):
-        return F.concat(F.lit("DATETIME('"), F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("')"))
+        return F.concat(F.lit("DATETIME('"), F.replace(column.cast("string"), F.lit(" "), F.lit("T")), F.lit("')"))
     if isinstance(of, T.StructType):
         return F.concat(F.lit("DURATION('"), duration_text(column), F.lit("')"))
     if isinstance(of, T.ArrayType):
@@ -52,9 +53,25 @@ def export_statements(graph: Graph) -> DataFrame:
     return out if out is not None else graph.spark.createDataFrame([], "part int, line string")
 
 
+#: What would end a line, and the mark itself, as they stand in a file.
+_MARKS = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _one_line(text: Column) -> Column:
+    for plain, mark in _MARKS:
+        text = F.replace(text, F.lit(plain), F.lit(mark))
+    return text
+
+
+def _many_lines(text: Column) -> Column:
+    for plain, mark in reversed(_MARKS):
+        text = F.replace(text, F.lit(mark), F.lit(plain))
+    return text
+
+
 def export_graph(graph: Graph, path: str) -> int:
-    """Write the statements as text under the path; returns how many."""
-    lines = export_statements(graph)
+    """Write the statements as text under the path, one a line; returns how many. Line breaks and backslashes are written as \\n, \\r and \\s."""
+    lines = export_statements(graph).withColumn("line", _one_line(F.col("line")))
     for part, name in ((0, "nodes"), (1, "edges")):
         lines.filter(F.col("part") == part).select("line").write.mode("overwrite").text(f"{path}/{name}")
     return graph.spark.read.text([f"{path}/nodes", f"{path}/edges"]).count()
@@ -76,18 +93,23 @@ def import_lines(session, lines: list[str], graph: str = "default") -> int:
     return done
 
 
+_STRING = r"'((?:[^']++|'')*+)'"
+_EDGE = rf"(?s)^MATCH \(a \{{_id: {_STRING}\}}\), \(b \{{_id: {_STRING}\}}\) INSERT \(a\)-\[:`([^`]+)`(?: (\{{.*\}}))?\]->\(b\);$"
+
+
+def _text(inside: Column) -> Column:
+    """The string that stands between quotes in a file."""
+    return _many_lines(F.replace(inside, F.lit("''"), F.lit("'")))
+
+
 def import_graph(session, path: str, graph: str) -> int:
     """Read an export as tables: statements are parsed on the executors' side by pattern, so size does not matter; ``_id`` goes again."""
     from quiver.sources.graph import EdgeTable, NodeTable
 
     spark = session.spark
-    nodes = spark.read.text(f"{path}/nodes").select(F.regexp_extract("value", r"^INSERT \(((?::`[^`]+`)*)", 1).alias("labels"), F.regexp_extract("value", r"^INSERT \([^{]*(\{.*\})\);$", 1).alias("map"))
-    edges = spark.read.text(f"{path}/edges").select(
-        F.regexp_extract("value", r"^MATCH \(a \{_id: '((?:[^']|'')*)'\}\), \(b \{_id: '((?:[^']|'')*)'\}\)", 1).alias("_src"),
-        F.regexp_extract("value", r"^MATCH \(a \{_id: '((?:[^']|'')*)'\}\), \(b \{_id: '((?:[^']|'')*)'\}\)", 2).alias("_dst"),
-        F.regexp_extract("value", r"INSERT \(a\)-\[:`([^`]+)`", 1).alias("label"),
-        F.regexp_extract("value", r"INSERT \(a\)-\[:`[^`]+`(?: (\{.*\}))?\]->\(b\);$", 1).alias("map"),
-    )
+    nodes = spark.read.text(f"{path}/nodes").select(F.regexp_extract("value", r"^INSERT \(((?::`[^`]+`)*)", 1).alias("labels"), F.regexp_extract("value", r"(?s)^INSERT \([^{]*(\{.*\})\);$", 1).alias("map"))
+    of_edge = lambda i: F.regexp_extract("value", _EDGE, i)
+    edges = spark.read.text(f"{path}/edges").select(_text(of_edge(1)).alias("_src"), _text(of_edge(2)).alias("_dst"), of_edge(3).alias("label"), of_edge(4).alias("map"))
     from quiver.sources.graph import Graph as _Graph
 
     target = _Graph(spark, graph)
@@ -98,27 +120,29 @@ def import_graph(session, path: str, graph: str) -> int:
         target.nodes["&".join(labels)] = NodeTable(labels, frame, "_id", hidden=frozenset(["_id"]))
     for row in edges.select("label").distinct().collect():
         rows, properties = _columns(edges.filter(F.col("label") == row["label"]), ["_src", "_dst", "map"])
-        named = rows.select(F.md5(F.concat_ws(">", "_src", F.lit(row["label"]), "_dst", "map")).alias("_id"), "_src", "_dst", *(F.col(f"`p_{p}`").alias(p) for p in properties))
+        # edges that are equal in all stay several: they are told apart by their number
+        again = F.row_number().over(Window.partitionBy("_src", "_dst", "map").orderBy(F.lit(1))).cast("string")
+        named = rows.select(F.md5(F.concat_ws(">", "_src", F.lit(row["label"]), "_dst", "map", again)).alias("_id"), "_src", "_dst", *(F.col(f"`p_{p}`").alias(p) for p in properties))
         target.edges[row["label"]] = [EdgeTable(row["label"], named, "_id", "_src", "_dst", hidden=frozenset(["_id", "_src", "_dst"]))]
     session.register(target)
     return nodes.count() + edges.count()
 
 
-_PAIR = r"(`[^`]+`|_id): ('(?:[^']|'')*'|\[[^\]]*\]|[A-Z]+\('[^']*'\)|[^,}]+)"
+_PAIR = r"(`[^`]+`|_id): ('(?:[^']++|'')*+'|\[[^\]]*\]|[A-Z]+\('[^']*'\)|[^,}]+)"
 
 
 def _columns(rows: DataFrame, kept: list[str]) -> tuple[DataFrame, list[str]]:
     """Properties of a map literal as columns, typed by how their values are written."""
     pairs = F.transform(F.regexp_extract_all("map", F.lit(_PAIR), F.lit(0)), lambda p: F.struct(F.regexp_replace(F.regexp_extract(p, _PAIR, 1), "`", "").alias("k"), F.regexp_extract(p, _PAIR, 2).alias("v")))
     parsed = rows.select(*kept, F.map_from_entries(pairs).alias("m"))
-    kind = F.when(F.col("v").rlike("^'"), "string").when(F.col("v").rlike("^(TRUE|FALSE)$"), "boolean").when(F.col("v").rlike(r"^-?\d+$"), "bigint").when(F.col("v").rlike("^DATE"), "date").when(F.col("v").rlike("^DATETIME"), "timestamp_ntz").when(F.col("v").rlike(r"^\[|^DURATION"), "text").otherwise("double")
+    kind = F.when(F.col("v").rlike("^'"), "string").when(F.col("v").rlike("^(TRUE|FALSE)$"), "boolean").when(F.col("v").rlike(r"^-?\d+$"), "bigint").when(F.col("v").rlike(r"^DATE\("), "date").when(F.col("v").rlike("^DATETIME"), "timestamp_ntz").when(F.col("v").rlike(r"^\[|^DURATION"), "text").otherwise("double")
     known = parsed.select(F.explode("m").alias("k", "v")).select("k", kind.alias("kind")).distinct().groupBy("k").agg(F.collect_set("kind").alias("kinds")).collect()
     types = {r["k"]: r["kinds"][0] if len(r["kinds"]) == 1 else "double" if set(r["kinds"]) == {"bigint", "double"} else "text" for r in known}
 
     def read(name: str, of: str) -> Column:
         raw = F.col("m")[name]
         if of == "string":
-            return F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))
+            return _text(F.substr(raw, F.lit(2), F.length(raw) - 2))
         if of in ("date", "timestamp_ntz"):
             return F.regexp_extract(raw, r"'([^']*)'", 1).cast(of)
         return raw.cast("string" if of == "text" else of)
