@@ -262,7 +262,10 @@ class Writer:
             ids = cut_lineage(nodes.distinct())
             self._drop_edges(ids, ["_src", "_dst"])
             for name, t in list(self.graph.nodes.items()):
-                self.stats.nodes_deleted += t.frame.join(ids, "_id", "left_semi").count()
+                gone = t.frame.join(ids, "_id", "left_semi").count()
+                if not gone:
+                    continue
+                self.stats.nodes_deleted += gone
                 self.graph.nodes[name] = replace(t, frame=t.frame.join(ids, "_id", "left_anti"))
             self.touched.append(ids)
         return Frame(df, frame.scope)
@@ -271,9 +274,13 @@ class Writer:
         for label, tables in list(self.graph.edges.items()):
             kept = []
             for t in tables:
+                gone = ids.withColumnRenamed("_id", "_gone")
+                if all(t.frame.join(gone, ref(end) == F.col("_gone"), "left_semi").isEmpty() for end in ends):
+                    kept.append(t)  # rows and file stay
+                    continue
                 rest = t.frame
                 for end in ends:
-                    rest = rest.join(ids.withColumnRenamed("_id", "_gone"), ref(end) == F.col("_gone"), "left_anti")
+                    rest = rest.join(gone, ref(end) == F.col("_gone"), "left_anti")
                 rest = cut_lineage(rest)
                 self.stats.edges_deleted += t.frame.count() - rest.count()
                 kept.append(replace(t, frame=rest))

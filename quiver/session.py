@@ -41,8 +41,18 @@ class Session:
         self.stats = Stats()
         self._open: dict[str, tuple[_Entry, list[tuple[str, dict]], list[DataFrame]]] = {}
         for name in self.store.graphs() if self.store else ():
-            graph, version = self.store.load(name)
-            self.entries[name] = _Entry(graph, version)
+            self._load(name)
+
+    def _load(self, name: str) -> None:
+        graph, version = self.store.load(name)
+        self.entries[name] = _Entry(graph, version, self.store.types(name, version))
+
+    def _refresh(self, name: str) -> None:
+        """Take up what other sessions have committed to the store."""
+        if self.store and name not in self._open:
+            known = self.store.versions(name)
+            if known and (name not in self.entries or self.entries[name].version < known[-1]):
+                self._load(name)
 
     def register(self, graph: Graph) -> Graph:
         """Make a graph known under its name; its tables stay where they are."""
@@ -92,6 +102,7 @@ class Session:
         return self.spark.createDataFrame([(text,)], "result string")
 
     def _write(self, statement: A.Node, text: str, name: str, parameters: dict[str, Any]) -> DataFrame:
+        self._refresh(name)
         if name not in self.entries and name not in self._open:
             self.entries[name] = _Entry(Graph(self.spark, name))
         entry = self._entry(name)
@@ -127,7 +138,7 @@ class Session:
         version = entry.version + 1
         if self.store:
             check_unique(graph), check_types(graph, entry.types)
-            graph = self.store.commit(graph, version)
+            graph = self.store.commit(graph, version, entry.types, touched)
         else:
             graph = self._settled(graph, entry)
         self.entries[name] = _Entry(graph, version, entry.types)
@@ -148,6 +159,7 @@ class Session:
         """Further statements on the graph see this version and their own writes."""
         if name in self._open:
             raise AnalysisError("a transaction is open already")
+        self._refresh(name)
         if name not in self.entries:
             self.entries[name] = _Entry(Graph(self.spark, name))
         self._open[name] = (self.entries[name], [], [])
@@ -157,13 +169,15 @@ class Session:
         if name not in self._open:
             raise AnalysisError("no transaction is open")
         entry, log, touched = self._open.pop(name)
+        self._refresh(name)
         head = self.entries[name]
         if not log:
             return
         if head.version == entry.version:
             self._commit(name, entry, entry.graph, touched)
             return
-        for version, others in self.commits.get(name, []):
+        since = ((v, self.store.touched(name, v)) for v in self.store.versions(name)) if self.store else self.commits.get(name, [])
+        for version, others in since:
             if version <= entry.version:
                 continue
             for mine in touched:
@@ -207,7 +221,7 @@ class Session:
             return self._message(f"Graph '{c.name}' already exists")
         self.entries[c.name] = _Entry(Graph(self.spark, c.name), 0, c.types)
         if self.store:
-            self.store.commit(self.entries[c.name].graph, 0)
+            self.entries[c.name].graph = self.store.commit(self.entries[c.name].graph, 0, c.types)
         return self._message(f"Graph '{c.name}' created")
 
     def _dropgraph(self, d: A.DropGraph, _: str) -> DataFrame:
@@ -225,6 +239,7 @@ class Session:
         return self.spark.createDataFrame([(n, graph_id(n)) for n in sorted(self.entries)], "name string, id string")
 
     def _createindex(self, c: A.CreateIndex, name: str) -> DataFrame:
+        self._refresh(name)
         if name not in self.entries:
             self.entries[name] = _Entry(Graph(self.spark, name))
         graph = self._entry(name).graph
@@ -232,11 +247,27 @@ class Session:
             if not c.if_not_exists:
                 raise CatalogError(f"index '{c.name}' already exists")
             return self._message(f"Index '{c.name}' already exists")
-        trial = replace(graph, indexes={**graph.indexes, c.name: Index(c.name, c.label, c.properties, c.unique)})
-        check_unique(trial)
-        graph.indexes[c.name] = trial.indexes[c.name]
+        self._redeclare(name, {**graph.indexes, c.name: Index(c.name, c.label, c.properties, c.unique)})
         return self._message(f"Index '{c.name}' created")
 
     def _dropindex(self, d: A.DropIndex, name: str) -> DataFrame:
-        self._entry(name).graph.indexes.pop(d.name, None)
+        self._refresh(name)
+        indexes = self._entry(name).graph.indexes
+        if d.name in indexes:
+            self._redeclare(name, {k: v for k, v in indexes.items() if k != d.name})
         return self._message(f"Index '{d.name}' dropped")
+
+    def _redeclare(self, name: str, indexes: dict[str, Index]) -> None:
+        """A version with other indexes; tables and files stay."""
+        entry = self._entry(name)
+        graph = replace(entry.graph, indexes=indexes)
+        check_unique(graph)
+        if name in self._open:
+            entry.graph.indexes.clear()
+            entry.graph.indexes.update(indexes)
+            return
+        if self.store:
+            graph._files = getattr(entry.graph, "_files", {})
+            self._commit(name, entry, graph, [])
+        else:
+            self.entries[name] = replace(entry, graph=graph)

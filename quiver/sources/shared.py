@@ -6,12 +6,16 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quiver.errors import CatalogError
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a fresh folder where that is unset (one machine)."""
+    """spark.checkpoint.dir of the session; where that is unset, a fresh folder on one machine, an error on a cluster."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise CatalogError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quiver-')}"
         sc.setCheckpointDir(folder)
     elif not sc.getCheckpointDir():

@@ -5,11 +5,13 @@ from __future__ import annotations
 import datetime
 import json
 import uuid
-from dataclasses import replace
+from dataclasses import asdict, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quiver.errors import CatalogError, ConflictError
+from quiver.lang.ast import TypeDeclaration
 from quiver.sources.graph import EdgeTable, Graph, Index, NodeTable
 
 
@@ -39,8 +41,8 @@ class Store:
     def versions(self, name: str) -> list[int]:
         return sorted(int(f[1:-5]) for f in self._names(name, "manifests") if f.startswith("v") and f.endswith(".json"))
 
-    def commit(self, graph: Graph, version: int) -> Graph:
-        """Write the tables that changed and the manifest; a version that is there already means that another writer was first."""
+    def commit(self, graph: Graph, version: int, types: tuple[TypeDeclaration, ...] = (), touched: list[DataFrame] | None = None) -> Graph:
+        """Write the tables that changed, the ids of the entities that did, and the manifest; a version that is there already means that another writer was first."""
         known: dict[int, str] = getattr(graph, "_files", {})
         files: dict[int, str] = {}
 
@@ -54,7 +56,10 @@ class Store:
             files[id(back)] = path
             return path, back
 
-        manifest: dict = {"version": version, "integrity": graph.integrity, "nodes": [], "edges": [], "indexes": [[i.name, i.label, list(i.properties), i.unique] for i in graph.indexes.values()]}
+        ids = f"{self.root}/{graph.name}/data/{uuid.uuid4().hex}" if touched else None
+        if ids:
+            reduce(DataFrame.union, (t.select("_id") for t in touched)).write.parquet(ids)
+        manifest: dict = {"version": version, "touched": ids, "types": [asdict(t) for t in types], "integrity": graph.integrity, "nodes": [], "edges": [], "indexes": [[i.name, i.label, list(i.properties), i.unique] for i in graph.indexes.values()]}
         nodes, edges = {}, {}
         for name, t in graph.nodes.items():
             path, frame = put(t.frame)
@@ -81,7 +86,20 @@ class Store:
         if not known or version is not None and version not in known:
             raise CatalogError(f"graph {name} not found")
         version = known[-1] if version is None else version
-        return self._graph(name, json.loads(self._read(name, "manifests", f"v{version}.json"))), version
+        return self._graph(name, self._manifest(name, version)), version
+
+    def _manifest(self, name: str, version: int) -> dict:
+        return json.loads(self._read(name, "manifests", f"v{version}.json"))
+
+    def types(self, name: str, version: int) -> tuple[TypeDeclaration, ...]:
+        """Types of nodes and edges declared for the graph."""
+        tuples = lambda x: tuple(tuples(y) for y in x) if isinstance(x, list) else x
+        return tuple(TypeDeclaration(**{k: tuples(v) for k, v in t.items()}) for t in self._manifest(name, version).get("types", ()))
+
+    def touched(self, name: str, version: int) -> list[DataFrame]:
+        """Ids of the entities that a version changed."""
+        path = self._manifest(name, version).get("touched")
+        return [self.spark.read.schema("_id string").parquet(path)] if path else []
 
     def _graph(self, name: str, manifest: dict) -> Graph:
         graph = Graph(self.spark, name, integrity=manifest["integrity"], indexes={i[0]: Index(i[0], i[1], tuple(i[2]), i[3]) for i in manifest["indexes"]})
@@ -104,7 +122,8 @@ class Store:
         """Drop all but the last versions and the files that only they use; returns the number of versions dropped."""
         known = self.versions(name)
         gone, kept = known[:-keep], known[-keep:]
-        used = {row[-1].rsplit("/", 1)[-1] for v in kept for kind in ("nodes", "edges") for row in json.loads(self._read(name, "manifests", f"v{v}.json"))[kind]}
+        used = {row[-1].rsplit("/", 1)[-1] for v in kept for kind in ("nodes", "edges") for row in self._manifest(name, v)[kind]}
+        used |= {path.rsplit("/", 1)[-1] for v in kept if (path := self._manifest(name, v).get("touched"))}
         for backup in self.backups():
             used |= {row[-1].rsplit("/", 1)[-1] for kind in ("nodes", "edges") for row in json.loads(self._read("backups", backup))[kind]}
         for v in gone:
