@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +24,31 @@ def widen(frame: DataFrame) -> DataFrame:
     return frame.select(*(F.col(f"`{f.name}`").cast(casts[type(f.dataType)]).alias(f.name) if type(f.dataType) in casts else F.col(f"`{f.name}`") for f in frame.schema.fields))
 
 
+class _Loaded:
+    """Attribute that holds rows, or a function that gives them: it is called when they are first asked for."""
+
+    def __get__(self, table: object, _: type | None = None) -> DataFrame:
+        if table is None:
+            raise AttributeError  # so that the field has no default
+        rows = table.__dict__["frame"]
+        if not isinstance(rows, DataFrame):
+            rows = table.__dict__["frame"] = rows()
+        return rows
+
+    def __set__(self, table: object, rows: DataFrame | Callable[[], DataFrame]) -> None:
+        table.__dict__["frame"] = rows
+
+
+def _rows(frame: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+    return widen(frame if isinstance(frame, DataFrame) else frame())
+
+
 @dataclass
 class NodeTable:
     """Nodes of one set of labels. ``key`` identifies a node within the table; its id is the prefix and the key."""
 
     labels: tuple[str, ...]
-    frame: DataFrame
+    frame: DataFrame = _Loaded()
     key: str
     prefix: str = ""
     #: Columns that are not properties.
@@ -52,7 +71,7 @@ class EdgeTable:
     """Edges of one label. ``source`` and ``target`` hold keys of the node tables named, or ids where none is named."""
 
     label: str
-    frame: DataFrame
+    frame: DataFrame = _Loaded()
     key: str
     source: str
     target: str
@@ -89,19 +108,21 @@ class Graph:
     def id(self) -> str:
         return graph_id(self.name)
 
-    def add_nodes(self, label: str, frame: DataFrame, key: str) -> Graph:
-        """A table of nodes of one label; every column is a property."""
-        self.nodes[label] = NodeTable((label,), widen(frame), key, f"{label.lower()}:")
+    def add_nodes(self, label: str, frame: DataFrame | Callable[[], DataFrame], key: str) -> Graph:
+        """A table of nodes of one label; every column is a property. A function that gives the rows is called on first use."""
+        self.nodes[label] = NodeTable((label,), lambda: _rows(frame), key, f"{label.lower()}:")
         return self
 
-    def add_edges(self, label: str, frame: DataFrame, source: tuple[str, str], target: tuple[str, str], key: str | None = None, properties: Iterable[str] = ()) -> Graph:
+    def add_edges(self, label: str, frame: DataFrame | Callable[[], DataFrame], source: tuple[str, str], target: tuple[str, str], key: str | None = None, properties: Iterable[str] = ()) -> Graph:
         """A table of edges; ``source`` and ``target`` are (node table, column of its keys). Without a key column the endpoints name the edge."""
         columns = list(dict.fromkeys(properties))
-        rows = widen(frame)
-        named = rows.select(
-            F.col(key).cast("string").alias("_id") if key else F.concat_ws(">", F.col(source[1]).cast("string"), F.col(target[1]).cast("string")).alias("_id"),
-            F.col(source[1]).alias("_src"), F.col(target[1]).alias("_dst"), *columns,
-        )
+
+        def named() -> DataFrame:
+            return _rows(frame).select(
+                F.col(key).cast("string").alias("_id") if key else F.concat_ws(">", F.col(source[1]).cast("string"), F.col(target[1]).cast("string")).alias("_id"),
+                F.col(source[1]).alias("_src"), F.col(target[1]).alias("_dst"), *columns,
+            )
+
         self.edges.setdefault(label, []).append(EdgeTable(label, named, "_id", "_src", "_dst", source[0], target[0], f"{label.lower()}:", frozenset(["_id", "_src", "_dst"])))
         return self
 

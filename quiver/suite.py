@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -9,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quiver.errors import CatalogError, ConflictError, ConstraintError
 from quiver.operators import fulltext
 from quiver.plans.compiler import Compiler
 from quiver.lang.parser import parse
 from quiver.session import Session
 from quiver.sources.graph import Graph, Index
-from quiver.sources.shared import cut_lineage
-from quiver.sources.text import export_statements
+from quiver.sources.shared import cut_lineage, shared_folder
+from quiver.streaming.ingest import attach, ingest_edges
+from quiver.sources.text import export_graph, export_statements, import_graph
 
 #: Node label: table and key.
 _NODES = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Orders": ("orders", "o_orderkey"), "Event": ("events", "event_id"), "Document": ("documents", "doc_id"), "Page": ("pages", "page_id")}
@@ -32,39 +35,33 @@ def _following(events: DataFrame) -> DataFrame:
     return within.join(F.broadcast(after), "range").select("event_id", "user_id", F.coalesce("within", "after")["user_id"].alias("next_id")).filter("next_id IS NOT NULL")
 
 
-def load_graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> Graph:
-    """The tables as a graph; all foreign keys hold. Nothing is read but the schemas.
-
-    NEXT_USER leads from event to event of the first 299 only, as the SQL of the queries on it has it; with ``whole``
-    it leads through all events, which are then read once.
-    """
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The tables as a graph; all foreign keys hold. A table is opened when a query first needs it; of NEXT_USER, events are then read once."""
+    read = lambda name: lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     graph = Graph(spark, "tables", integrity=True)
     for label, (table, key) in _NODES.items():
         graph.add_nodes(label, read(table), key)
-    graph.add_nodes("User", read("events").select("user_id").distinct(), "user_id")
+    graph.add_nodes("User", lambda: read("events")().select("user_id").distinct(), "user_id")
     graph.add_edges("IN_REGION", read("nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"))
     graph.add_edges("IN_NATION", read("customer"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"))
     graph.add_edges("BASED_IN", read("supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"))
     graph.add_edges("PLACED", read("orders"), ("Customer", "o_custkey"), ("Orders", "o_orderkey"))
-    lines = read("lineitem")
-    # (order, line number) repeats, so lines of an order are told apart by their number in the order of all columns
-    numbered = lines.withColumn("l_id", F.concat_ws("/", "l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*lines.columns))))
+
+    def numbered() -> DataFrame:
+        # (order, line number) repeats, so lines of an order are told apart by their number in the order of all columns
+        lines = read("lineitem")()
+        return lines.withColumn("l_id", F.concat_ws("/", "l_orderkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*lines.columns))))
+
     graph.add_edges("HAS_PART", numbered, ("Orders", "l_orderkey"), ("Part", "l_partkey"), "l_id", _LINES)
     graph.add_edges("SHIPPED_BY", numbered, ("Orders", "l_orderkey"), ("Supplier", "l_suppkey"), "l_id", _LINES)
     graph.add_edges("PERFORMED", read("events"), ("User", "user_id"), ("Event", "event_id"), "event_id")
-    if whole:
-        following = _following(read("events"))
-    else:
-        first = read("events").filter("event_id < 300")
-        following = first.select("event_id", "user_id", F.lead("user_id").over(Window.orderBy("event_id")).alias("next_id")).filter("next_id IS NOT NULL")
-    graph.add_edges("NEXT_USER", following, ("User", "user_id"), ("User", "next_id"), "event_id")
+    graph.add_edges("NEXT_USER", lambda: _following(read("events")()), ("User", "user_id"), ("User", "next_id"), "event_id")
     return graph
 
 
-def _gql(text: str, parameters: dict[str, Any] | None = None, prepare: Callable[[Graph], None] | None = None, whole: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+def _gql(text: str, parameters: dict[str, Any] | None = None, prepare: Callable[[Graph], None] | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        graph = load_graph(spark, sf_dir, whole)
+        graph = load_graph(spark, sf_dir)
         if prepare:
             prepare(graph)
         return Compiler(graph, parameters).query(parse(text).statements[0])
@@ -74,20 +71,15 @@ def _gql(text: str, parameters: dict[str, Any] | None = None, prepare: Callable[
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Queries that read NEXT_USER. Each stands a second time, with ``_whole`` behind its name, over all events.
-ON_NEXT_USER = ("expand_undirected", "varlen_1_3", "varlen_bounds", "walk_mode", "trail_mode", "acyclic_mode", "shortest_path", "all_shortest", "call_edge_count")
 
 
 def _add(name: str, text: str, sql: str | None, parameters: dict[str, Any] | None = None, prepare: Callable[[Graph], None] | None = None) -> None:
     QUERIES[name] = _gql(text, parameters, prepare)
     if sql:
         ORACLES[name] = sql
-    if name in ON_NEXT_USER:
-        QUERIES[f"{name}_whole"] = _gql(text, parameters, prepare, whole=True)
-        ORACLES[f"{name}_whole"] = sql.replace(" WHERE event_id < 300", "").replace("+ 299", "+ (SELECT greatest(count(*) - 1, 0) FROM events)")
 
 
-_NEXT = "WITH RECURSIVE nx AS (SELECT event_id AS eid, user_id AS s, lead(user_id) OVER (ORDER BY event_id) AS d FROM events WHERE event_id < 300), e AS (SELECT * FROM nx WHERE d IS NOT NULL)"
+_NEXT = "WITH RECURSIVE nx AS (SELECT event_id AS eid, user_id AS s, lead(user_id) OVER (ORDER BY event_id) AS d FROM events), e AS (SELECT * FROM nx WHERE d IS NOT NULL)"
 
 _add("scan_label", "MATCH (n:Nation) RETURN n.n_name AS name", "SELECT n_name AS name FROM nation")
 _add(
@@ -184,12 +176,21 @@ _add(
     "SELECT DISTINCT column_name AS propertyKey FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'events', 'documents', 'pages') OR (table_name = 'lineitem' AND column_name NOT IN ('l_orderkey', 'l_partkey', 'l_suppkey'))",
 )
 _add("call_node_count", "CALL db.nodeCount()", ORACLES["scan_all_count"].replace(" AS c", " AS count"))
-_add("call_edge_count", "CALL db.edgeCount()", "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events) + 299 AS count")
+_add("call_edge_count", "CALL db.edgeCount()", "SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM orders) + 2 * (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM events) + (SELECT greatest(count(*) - 1, 0) FROM events) AS count")
 _add("index_equiv", "MATCH (c:Customer) WHERE c.c_mktsegment = 'BUILDING' AND c.c_acctbal > 5000 RETURN c.c_custkey AS k", "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000", prepare=lambda g: g.indexes.update(seg=Index("seg", "Customer", ("c_mktsegment",))))
 _add("reverse_equiv", "MATCH (o:Orders)<-[:PLACED]-(c:Customer)-[:IN_NATION]->(n:Nation {n_name: 'NATION_9'}) RETURN o.o_orderkey AS k", "SELECT o_orderkey AS k FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_name = 'NATION_9'")
 _add("return_star", "MATCH (n:Nation) LET name = n.n_name WITH name RETURN *", "SELECT n_name AS name FROM nation")
 _add("stddev_percentile", "MATCH (p:Part) RETURN p.p_brand AS brand, toInteger(STDDEV(p.p_size) * 1000) AS sd, PERCENTILE(p.p_size, 0.5) AS median", "SELECT p_brand AS brand, CAST(trunc(stddev_samp(p_size) * 1000) AS BIGINT) AS sd, quantile_cont(CAST(p_size AS DOUBLE), 0.5) AS median FROM part GROUP BY 1")
 
+_add("chained_cmp", "MATCH (p:Part) WHERE 10 < p.p_size AND ((p.p_size < 20)) RETURN p.p_partkey AS k", "SELECT p_partkey AS k FROM part WHERE p_size > 10 AND p_size < 20")
+_add("intersect_all", "MATCH (c:Customer) RETURN c.c_nationkey AS k INTERSECT ALL MATCH (s:Supplier) RETURN s.s_nationkey AS k", "SELECT CAST(c_nationkey AS BIGINT) AS k FROM customer INTERSECT ALL SELECT CAST(s_nationkey AS BIGINT) FROM supplier")
+_add("literals", "RETURN 1 AS i, 2.5 AS f, 'it''s' AS s, TRUE AS b, NULL IS NULL AS n, size([1, 2, 3]) AS l", "SELECT CAST(1 AS BIGINT) AS i, CAST(2.5 AS DOUBLE) AS f, 'it''s' AS s, true AS b, true AS n, CAST(3 AS BIGINT) AS l")
+_add("list_concat", "MATCH (r:Region) RETURN size([r.r_regionkey] || [1, 2]) AS n, r.r_name AS name", "SELECT CAST(3 AS BIGINT) AS n, r_name AS name FROM region")
+_add("comments_and_names", "MATCH (`the region`:Region) /* all of them */ RETURN `the region`.r_name AS name -- by name", "SELECT r_name AS name FROM region")
+_add("grouped_empty", "MATCH (p:Part) WHERE p.p_size < 0 RETURN p.p_brand AS brand, COUNT(*) AS n", "SELECT p_brand AS brand, count(*) AS n FROM part WHERE p_size < 0 GROUP BY 1")
+_add("simple_mode", "MATCH p = SIMPLE (a:User {user_id: 8})-[:NEXT_USER]->{1,2}(b:User) RETURN length(p) AS hops, COUNT(*) AS c", _WALKS.format(keep="NOT list_contains(p.es, e.eid) AND p.t <> p.o AND NOT list_contains(p.ns, e.d)") + " SELECT CAST(len(es) AS BIGINT) AS hops, count(*) AS c FROM p WHERE len(es) <= 2 GROUP BY 1")
+_add("call_schema", "CALL db.schema() YIELD labels RETURN size(labels) AS n", "SELECT CAST(10 AS BIGINT) AS n")
+
 
 def fulltext_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fulltext.search(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "License, under")
@@ -223,18 +224,122 @@ def insert_set_delete_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.query("MATCH (a:City)-[r:ROAD]->(b:City) RETURN a.name AS a, a.n AS n, r.km AS km, b.name AS b, b.big AS big", "work")
 
 
-def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def export_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and what joins them as statements, with SQL."""
     graph = load_graph(spark, sf_dir)
     small = Graph(spark, "small", {k: graph.nodes[k] for k in ("Region", "Nation")}, {"IN_REGION": graph.edges["IN_REGION"]}, True)
     return export_statements(small).select("line")
 
 
-def export_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node and edge of the graph; no SQL counterpart, as the text of numbers and times is the language's own."""
-    return export_statements(load_graph(spark, sf_dir, whole=True)).select("line")
+    return export_statements(load_graph(spark, sf_dir)).select("line")
+
+
+def documents_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as statements and read back."""
+    path = f"{shared_folder(spark)}/quiver-export-{uuid.uuid4().hex}"
+    export_graph(Graph(spark, "texts").add_nodes("Document", spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id"), path)
+    session = Session(spark)
+    import_graph(session, path, "texts")
+    return session.query("MATCH (d:Document) RETURN d.doc_id AS doc_id, d.text AS text, d.lang AS lang, d.source AS source", "texts")
+
 
+def _stored(spark: SparkSession) -> tuple[Session, str]:
+    root = f"{shared_folder(spark)}/quiver-store-{uuid.uuid4().hex}"
+    return Session(spark, root), root
 
-for _name, _query in (("fulltext_and", fulltext_and), ("fulltext_prefix", fulltext_prefix), ("fulltext_inverted", fulltext_inverted), ("index_range_scan", index_range_scan), ("insert_set_delete_roundtrip", insert_set_delete_roundtrip), ("export_lines", export_lines), ("export_lines_whole", export_lines_whole)):
+
+def _outcome(session: Session, text: str, graph: str = "work") -> str:
+    try:
+        session.query(text, graph)
+    except (ConstraintError, ConflictError, CatalogError) as problem:
+        return type(problem).__name__
+    return "done"
+
+
+def unique_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unique index holds in the session that made it and in later ones, until it is dropped there."""
+    first, root = _stored(spark)
+    first.query("INSERT (:City {n: 1}), (:City {n: 2})", "work")
+    first.query("CREATE UNIQUE INDEX one FOR (c:City) ON (c.n)", "work")
+    later = Session(spark, root)
+    steps = [("first", _outcome(first, "INSERT (:City {n: 2})")), ("later", _outcome(later, "INSERT (:City {n: 1})")), ("twice", _outcome(later, "CREATE UNIQUE INDEX one FOR (c:City) ON (c.n)"))]
+    later.query("DROP INDEX one", "work")
+    return spark.createDataFrame([*steps, ("dropped", _outcome(first, "INSERT (:City {n: 2})"))], "step string, outcome string")
+
+
+def graph_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs are made, listed and dropped."""
+    session, _ = _stored(spark)
+    steps = [_outcome(session, x) for x in ("CREATE GRAPH a", "CREATE GRAPH a", "CREATE GRAPH IF NOT EXISTS a", "CREATE GRAPH b", "DROP GRAPH a", "DROP GRAPH a", "DROP GRAPH IF EXISTS a")]
+    names = [r["name"] for r in session.query("LIST GRAPHS").collect()]
+    return spark.createDataFrame([(i, x) for i, x in enumerate([*steps, *names])], "step long, outcome string")
+
+
+def labels_and_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SET and REMOVE of labels and properties on the regions."""
+    session = Session(spark)
+    session.register(Graph(spark, "work").add_nodes("Region", spark.read.parquet(f"{sf_dir}/region.parquet"), "r_regionkey"))
+    for text in ("MATCH (r:Region) WHERE r.r_regionkey < 3 SET r:Low, r.half = r.r_regionkey / 2", "MATCH (r:Low {r_regionkey: 1}) REMOVE r:Low, r.half", "MATCH (r:Region {r_regionkey: 4}) DELETE r"):
+        session.query(text, "work")
+    return session.query("MATCH (r:Region) RETURN r.r_regionkey AS k, size(labels(r)) AS labels, r.half AS half", "work")
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sessions on one store: a conflict, a rollback, a merge of separate changes, and a snapshot from before."""
+    first, root = _stored(spark)
+    first.query("INSERT (:City {n: 1}), (:City {n: 2}), (:City {n: 3})", "work")
+    second = Session(spark, root)
+    first.begin("work")
+    first.query("MATCH (c:City {n: 1}) SET c.n = 10", "work")
+    second.query("MATCH (c:City {n: 1}) SET c.n = 11", "work")
+    outcomes = []
+    try:
+        first.commit("work")
+    except ConflictError:
+        outcomes.append(("conflict", 0))
+    first.begin("work")
+    first.query("MATCH (c:City) DELETE c", "work")
+    first.rollback("work")
+    first.begin("work")
+    first.query("MATCH (c:City {n: 2}) SET c.n = 20", "work")
+    second.query("MATCH (c:City {n: 3}) SET c.n = 30", "work")
+    first.commit("work")
+    cities = "MATCH (c:City) RETURN c.n AS n"
+    outcomes += [("now", r["n"]) for r in first.query(cities, "work").collect()]
+    old = Session(spark)
+    old.register(first.at("work", 1))
+    outcomes += [("before", r["n"]) for r in old.query(cities, "work").collect()]
+    return spark.createDataFrame(outcomes, "state string, n long")
+
+
+def backup_and_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A backup outlives later writes and a vacuum."""
+    session, _ = _stored(spark)
+    session.register(Graph(spark, "work").add_nodes("Nation", spark.read.parquet(f"{sf_dir}/nation.parquet"), "n_nationkey"))
+    session.query("MATCH (n:Nation {n_nationkey: 0}) SET n.n_name = 'first'", "work")
+    title = session.store.backup("work")
+    session.query("MATCH (n:Nation) DELETE n", "work")
+    session.store.vacuum("work")
+    restored = Session(spark)
+    restored.register(session.store.restore(title))
+    return restored.query("MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS name", "work")
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events arrive as a stream of edges from users to what they did, and are queried as a graph."""
+    path = f"{shared_folder(spark)}/quiver-stream-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "user_id", "event_type", "value")
+    ingest_edges(stream, f"{path}/edges", f"{path}/checkpoint", "user_id", "event_type", "event_id").awaitTermination()
+    graph = Graph(spark, "stream", integrity=True)
+    graph.add_nodes("User", events.select("user_id").distinct(), "user_id").add_nodes("Kind", events.select("event_type").distinct(), "event_type")
+    attach(graph, "DID", f"{path}/edges", "User", "Kind")
+    return Compiler(graph).query(parse("MATCH (u:User)-[d:DID]->(k:Kind) RETURN u.user_id AS user_id, k.event_type AS kind, COUNT(*) AS n").statements[0])
+
+
+for _name, _query in (("stream_ingest", stream_ingest), ("documents_roundtrip", documents_roundtrip), ("unique_index", unique_index), ("graph_ddl", graph_ddl), ("labels_and_removal", labels_and_removal), ("transactions", transactions), ("backup_and_restore", backup_and_restore), ("fulltext_and", fulltext_and), ("fulltext_prefix", fulltext_prefix), ("fulltext_inverted", fulltext_inverted), ("index_range_scan", index_range_scan), ("insert_set_delete_roundtrip", insert_set_delete_roundtrip), ("export_lines", export_lines), ("export_places", export_places)):
     QUERIES[_name] = _query
 
 _TOKENS = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
@@ -242,7 +347,14 @@ ORACLES["fulltext_and"] = ORACLES["fulltext_inverted"] = f"SELECT doc_id FROM do
 ORACLES["fulltext_prefix"] = f"SELECT doc_id FROM documents WHERE len(list_filter({_TOKENS}, lambda t: starts_with(t, 'licen'))) > 0"
 ORACLES["index_range_scan"] = "SELECT p_partkey AS k FROM part WHERE p_retailprice >= 920 AND p_retailprice < 960"
 ORACLES["insert_set_delete_roundtrip"] = "SELECT 'B' AS a, CAST(20 AS BIGINT) AS n, CAST(5 AS BIGINT) AS km, 'C' AS b, true AS big"
-ORACLES["export_lines"] = """
+ORACLES["stream_ingest"] = "SELECT user_id, event_type AS kind, count(*) AS n FROM events GROUP BY ALL"
+ORACLES["documents_roundtrip"] = "SELECT doc_id, text, lang, source FROM documents"
+ORACLES["unique_index"] = "SELECT * FROM (VALUES ('first', 'ConstraintError'), ('later', 'ConstraintError'), ('twice', 'CatalogError'), ('dropped', 'done')) t(step, outcome)"
+ORACLES["graph_ddl"] = "SELECT CAST(step AS BIGINT) AS step, outcome FROM (VALUES (0, 'done'), (1, 'CatalogError'), (2, 'done'), (3, 'done'), (4, 'done'), (5, 'CatalogError'), (6, 'done'), (7, 'b')) t(step, outcome)"
+ORACLES["labels_and_removal"] = "SELECT CAST(r_regionkey AS BIGINT) AS k, CAST(CASE WHEN r_regionkey IN (0, 2) THEN 2 ELSE 1 END AS BIGINT) AS labels, CAST(CASE WHEN r_regionkey IN (0, 2) THEN r_regionkey // 2 END AS BIGINT) AS half FROM region WHERE r_regionkey <> 4"
+ORACLES["transactions"] = "SELECT state, CAST(n AS BIGINT) AS n FROM (VALUES ('conflict', 0), ('now', 11), ('now', 20), ('now', 30), ('before', 1), ('before', 2), ('before', 3)) t(state, n)"
+ORACLES["backup_and_restore"] = "SELECT CAST(n_nationkey AS BIGINT) AS k, CASE WHEN n_nationkey = 0 THEN 'first' ELSE n_name END AS name FROM nation"
+ORACLES["export_places"] = """
 SELECT 'INSERT (:`Region` {_id: ''region:' || r_regionkey || ''', `r_regionkey`: ' || r_regionkey || ', `r_name`: ''' || r_name || '''});' AS line FROM region
 UNION ALL SELECT 'INSERT (:`Nation` {_id: ''nation:' || n_nationkey || ''', `n_nationkey`: ' || n_nationkey || ', `n_name`: ''' || n_name || ''', `n_regionkey`: ' || n_regionkey || '});' FROM nation
 UNION ALL SELECT 'MATCH (a {_id: ''nation:' || n_nationkey || '''}), (b {_id: ''region:' || n_regionkey || '''}) INSERT (a)-[:`IN_REGION`]->(b);' FROM nation

@@ -9,7 +9,7 @@ from quiver.lang.parser import parse
 from quiver.operators import fulltext
 from quiver.session import Session
 from quiver.sources.graph import Graph, graph_id
-from quiver.sources.text import export_graph, import_graph
+from quiver.sources.text import export_graph, import_graph, import_lines
 
 
 @pytest.fixture(scope="module")
@@ -149,10 +149,20 @@ def test_transactions_and_store(spark, tmp_path):
     assert old.node_ids().count() == 1
     other = Session(spark, root)
     s.query("INSERT (:P {n: 3})", "g")
+    other.query("INSERT (:P {n: 4})", "g")  # on top of what the first session has written
+    assert rows(other, "MATCH (a:P) RETURN COUNT(*)", "g") == [(4,)]
+    s.begin("g")
+    s.query("MATCH (a:P {n: 1}) SET a.n = 10", "g")
+    other.query("MATCH (a:P {n: 1}) SET a.n = 11", "g")
     with pytest.raises(ConflictError):
-        other.query("INSERT (:P {n: 4})", "g")
+        s.commit("g")
+    s.begin("g")
+    s.query("MATCH (a:P {n: 2}) SET a.n = 20", "g")
+    other.query("MATCH (a:P {n: 3}) SET a.n = 30", "g")
+    s.commit("g")
+    assert sorted(rows(s, "MATCH (a:P) RETURN a.n", "g")) == [(4,), (11,), (20,), (30,)]
     title = s.store.backup("g", "day")
-    assert s.store.backups() == [title] and s.store.restore(title).node_ids().count() == 3
+    assert s.store.backups() == [title] and s.store.restore(title).node_ids().count() == 4
     with pytest.raises(CatalogError):
         s.query("CREATE GRAPH g")
     s.query("DROP GRAPH g")
@@ -160,6 +170,35 @@ def test_transactions_and_store(spark, tmp_path):
     assert graph_id("g") == graph_id("g")
 
 
+def test_declarations_outlive_the_session(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    s = Session(spark, root)
+    s.query("CREATE GRAPH g")
+    s.query("INSERT (:P {n: 1}), (:P {n: 2})", "g")
+    s.query("CREATE UNIQUE INDEX u FOR (x:P) ON (x.n)", "g")
+    again = Session(spark, root)
+    assert list(again.graph("g").indexes) == ["u"]
+    with pytest.raises(ConstraintError):
+        again.query("INSERT (:P {n: 2})", "g")
+    again.query("DROP INDEX u", "g")
+    s.query("INSERT (:P {n: 2})", "g")
+    assert Session(spark, root).graph("g").indexes == {} and rows(s, "MATCH (a:P) RETURN COUNT(*)", "g") == [(3,)]
+
+
+def test_export_and_import_lose_nothing(spark, tmp_path):
+    texts = ["one\ntwo", "a\r\nb", "it's \\n no break", "\\", "'", "{x: 'y', z}", "INSERT (a)-[:`K`]->(b);", "\u2028 ü", ""]
+    when = datetime.datetime(2024, 1, 2, 3, 4, 5, 678901)
+    graph = Graph(spark, "g").add_nodes("T", spark.createDataFrame([(i, t, when) for i, t in enumerate(texts)], "k long, t string, w timestamp_ntz"), "k")
+    graph.add_edges("K", spark.createDataFrame([(0, 1), (0, 1), (1, 2)], "a long, b long"), ("T", "a"), ("T", "b"))
+    assert export_graph(graph, f"file://{tmp_path}/out") == len(texts) + 3
+    s = Session(spark)
+    assert import_graph(s, f"file://{tmp_path}/out", "back") == len(texts) + 3
+    assert sorted(rows(s, "MATCH (a:T) RETURN a.k, a.t, a.w", "back")) == [(i, t, when) for i, t in enumerate(texts)]
+    assert rows(s, "MATCH p = TRAIL (a:T {k: 0})-[:K]->{1,2}(b) RETURN length(p) AS n, COUNT(*) AS c ORDER BY n", "back") == [(1, 2), (2, 2)]
+    assert import_lines(s, ["INSERT (:T {w: DATETIME('2024-01-02T03:04:05.678901')})", "-- no statement"], "again") == 1
+    assert rows(s, "MATCH (a:T) RETURN a.w", "again") == [(when,)]
+
+
 def test_export_and_import(spark, session, tmp_path):
     count = export_graph(session.graph("social"), f"file://{tmp_path}/out")
     assert count == 14

@@ -53,13 +53,13 @@ def test_whole_paths(spark, tables, users):
     paths = [w for w in walks if len(set(w[1])) == len(w[1])]
     hops = lambda ws: Counter(Counter(len(es) for es, _ in ws).items())
     assert len(edges) > 600 and len(walks) > len(trails) > len(paths)
-    assert ask("varlen_1_3_whole") == Counter((ns[-1], len(es)) for es, ns in trails)
-    assert ask("varlen_bounds_whole") == Counter(Counter(ns[-1] for es, ns in trails if len(es) > 1).items())
-    assert (ask("walk_mode_whole"), ask("trail_mode_whole"), ask("acyclic_mode_whole")) == (hops(walks), hops(trails), hops(paths))
+    assert ask("varlen_1_3") == Counter((ns[-1], len(es)) for es, ns in trails)
+    assert ask("varlen_bounds") == Counter(Counter(ns[-1] for es, ns in trails if len(es) > 1).items())
+    assert (ask("walk_mode"), ask("trail_mode"), ask("acyclic_mode")) == (hops(walks), hops(trails), hops(paths))
     ends = Counter()
     for _, (s, d) in edges:
         ends.update({s, d})
-    assert ask("expand_undirected_whole") == Counter(ends.items())
+    assert ask("expand_undirected") == Counter(ends.items())
     ways, seen, now = {}, {8}, Counter({8: 1})
     for n in range(1, 5):
         after = Counter()
@@ -69,14 +69,14 @@ def test_whole_paths(spark, tables, users):
         now = Counter({d: w for d, w in after.items() if d not in seen})
         seen |= set(now)
         ways |= {d: (n, w) for d, w in now.items()}
-    assert ask("shortest_path_whole") == Counter((d, n) for d, (n, _) in ways.items())
-    assert ask("all_shortest_whole") == Counter((d, n, w) for d, (n, w) in ways.items())
+    assert ask("shortest_path") == Counter((d, n) for d, (n, _) in ways.items())
+    assert ask("all_shortest") == Counter((d, n, w) for d, (n, w) in ways.items())
 
 
 def test_whole_export_and_count(spark, tables, users):
-    lines = [r.line for r in suite.QUERIES["export_lines_whole"](spark, tables).collect()]
+    lines = [r.line for r in suite.QUERIES["export_lines"](spark, tables).collect()]
     edges = 2 + 1 + 1 + 1 + 2 * 2 + len(users) + len(users) - 1
-    assert suite.QUERIES["call_edge_count_whole"](spark, tables).first()[0] == edges
+    assert suite.QUERIES["call_edge_count"](spark, tables).first()[0] == edges
     kinds = Counter(line.split(":`")[1].split("`")[0] for line in lines)
     assert kinds == {"Region": 1, "Nation": 2, "Customer": 1, "Supplier": 1, "Part": 1, "Orders": 1, "Event": len(users), "Document": 1, "Page": 1, "User": len(set(users)), "IN_REGION": 2, "IN_NATION": 1, "BASED_IN": 1, "PLACED": 1, "HAS_PART": 2, "SHIPPED_BY": 2, "PERFORMED": len(users), "NEXT_USER": len(users) - 1}
     assert "INSERT (:`Document` {_id: 'document:1', `doc_id`: 1, `text`: 'it''s', `lang`: 'en', `source`: 's', `n_chars`: 4});" in lines
