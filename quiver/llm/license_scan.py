@@ -71,10 +71,13 @@ _VERSION = "(?: (?:version|v) ?[0-9]+(?: [0-9]+)?)?"
 #: Words that make a statement of their own, without the word licence.
 _GIVEN = "released|distributed|published|provided|available|covered|governed"
 _LICENSE = "(?: licen[sc]e)(?: agreement)?"
-#: Rules of a family in the order in which they win: template, weight. N stands for the name and, in a rule of its own, for the identifier; I for the identifier only.
+_UNDER = f"(?:licen[sc]ed|{_GIVEN}) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N(?:{_LICENSE})?{_VERSION}"
+#: Rules of a family in the order in which they win: template, weight. A weight of 0 denies: what the match contains
+#: counts for nothing. N stands for the name and, in a rule of its own, for the identifier; I for the identifier only.
 TEMPLATES = (
+    (f"(?:not|never|no longer) {_UNDER}", 0.0),
     ("spdx licen[sc]e identifier I", 1.0),
-    (f"(?:dual )?(?:licen[sc]ed|{_GIVEN}) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N(?:{_LICENSE})?{_VERSION}", 0.95),
+    (f"(?:dual )?{_UNDER}", 0.95),
     (f"under (?:the )?(?:terms|conditions) (?:and conditions )?of (?:the )?N{_LICENSE}{_VERSION}", 0.95),
     (f"subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N{_LICENSE}{_VERSION}", 0.9),
     (f"permission is (?:hereby )?granted under (?:the )?N{_LICENSE}{_VERSION}", 0.9),
@@ -83,8 +86,31 @@ TEMPLATES = (
     (f"licen[sc]e (?:type )?(?:is )?(?:the )?N{_VERSION}", 0.6),
 )
 
-#: Texts without any of these hold no signature: every template has the word licence, but for the statements of the second.
-KEYWORDS = f"(?i)licen[sc]e|spdx|(?:{_GIVEN}){_GAP}(?:under|by)"
+#: Sentences of license texts that don't name their license: label, words that every match holds, pattern, weight.
+SENTENCES = (
+    ("mit", "obtaining a copy of this software", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.9),
+    ("mit", "this permission notice shall be included", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.8),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted(?: subject to the limitations in the disclaimer below)?(?: provided that the following conditions are met)?", 0.9),
+    ("bsd", "may be used to endorse or promote", "neither the name of (?:[^ ]+ ){1,12}(?:nor the names of (?:its|their) contributors )?may be used to endorse or promote products derived from this software", 0.8),
+    ("isc", "permission to use copy modify", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 0.9),
+    ("postgresql", "without a written agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 0.9),
+    ("apache", "you may not use this file except", "you may not use this file except in compliance with the licen[sc]e", 0.8),
+    ("boost", "any person or organization obtaining", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", 0.9),
+    ("zlib", "this software is provided as is", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", 0.8),
+    ("zlib", "altered source versions", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 0.9),
+    ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain", 0.9),
+    ("unlicense", "anyone is free to copy", "anyone is free to copy modify publish use compile sell or distribute this software", 0.8),
+    ("wtfpl", "do what the fuck you want to", "(?:you just )?do what the fuck you want to(?: public licen[sc]e)?", 0.9),
+    ("gpl", "it under the terms of the gnu", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation(?: either version [0-9](?: or at your option any later version)?)?", 0.95),
+    ("lgpl", "it under the terms of the gnu", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e(?: as published by the free software foundation)?", 0.95),
+    ("agpl", "it under the terms of the gnu", "(?:you can )?redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e(?: as published by the free software foundation)?", 0.95),
+    ("beerware", "buy me a beer", "(?:if we meet some day and you think this stuff is worth it )?you can buy me a beer in return", 0.9),
+    ("vim", "distribute unmodified copies of vim", "there are no restrictions on distributing unmodified copies of vim|distribute unmodified copies of vim", 0.9),
+    ("ofl", "reserved font name", "with reserved font name", 0.7),
+)
+
+#: Texts without any of these hold no signature: every template has the word licence, but for the statements of _UNDER, and every sentence has its own words.
+KEYWORDS = f"(?i)licen[sc]e|spdx|(?:{_GIVEN}){_GAP}(?:under|by)|" + "|".join(dict.fromkeys(re.sub(" ", lambda _: _GAP, words) for _, words, _, _ in SENTENCES))
 
 
 def rules() -> list[dict]:
@@ -99,6 +125,8 @@ def rules() -> list[dict]:
         for word, what, letters in ((keyword, name, "N"), (leading, code, "NI")):
             signatures = [{"priority": i, "weight": w, "pattern": f"(?<= )(?:{re.sub(f'[{letters}]', lambda _: what, t)})(?= )"} for i, (t, w) in enumerate(TEMPLATES) if re.search(f"[{letters}]", t)]
             out.append({"label": label, "keyword": word, "signatures": signatures})
+    for label, words, pattern, weight in SENTENCES:
+        out.append({"label": label, "keyword": words, "signatures": [{"priority": len(TEMPLATES), "weight": weight, "pattern": f"(?<= )(?:{pattern})(?= )"}]})
     return out
 
 
@@ -123,7 +151,7 @@ def detections(joined: Column) -> Column:
 
 
 def survivors(found: Column) -> Column:
-    """Labels and best weight of the detections that no earlier one contains; one sweep in order of start."""
+    """Labels and best weight of the detections that no earlier one contains; one sweep in order of start. A denial contains what it denies and gives no label."""
     start = F.struct(F.lit(-1).alias("reach"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score")).cast(_STATE)
 
     def add(acc: Column, x: Column) -> Column:
@@ -131,7 +159,7 @@ def survivors(found: Column) -> Column:
         new = end > acc["reach"]
         return F.struct(
             F.greatest(acc["reach"], end).alias("reach"),
-            F.when(new & ~F.array_contains(acc["labels"], x["label"]), F.concat(acc["labels"], F.array(x["label"]))).otherwise(acc["labels"]).alias("labels"),
+            F.when(new & (x["weight"] > 0) & ~F.array_contains(acc["labels"], x["label"]), F.concat(acc["labels"], F.array(x["label"]))).otherwise(acc["labels"]).alias("labels"),
             F.when(new, F.greatest(acc["score"], x["weight"])).otherwise(acc["score"]).alias("score"),
         ).cast(_STATE)
 
@@ -143,7 +171,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Words are runs of lower-cased letters, digits and characters beyond ASCII. The phrases of the contract are looked
     for word by word; signatures run on the words joined by spaces, only in texts that hold a keyword. A detection
-    inside another one is suppressed, and of equal ones the first rule wins; labels of phrases always stay.
+    inside another one is suppressed, and of equal ones the first rule wins; so a denial ("not licensed under") takes
+    away what it denies. Labels of phrases always stay.
 
     Null or empty text: no words, no labels, score 0. Null doc_id and repeated rows: like any other row. Empty table:
     no rows. Columns besides doc_id and text are ignored. Returns doc_id, n_words, n_base, first_word, last_word,
