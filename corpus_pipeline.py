@@ -24,13 +24,21 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null or empty text is judged like any other, null doc_id too; repeated rows have one verdict. Without both labels
+    all documents stay. Empty table: no rows. Other columns pass, whatever their names.
+    """
     judged = score_quality(docs, read_table(spark, sf_dir, "labels"), extra=docs.columns)
     return judged.filter("predicted = 1").select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id; rows that repeat it go."""
+    """One document of each group of near-duplicates stays, the one with the smallest id; rows that repeat it go.
+
+    Null or empty text and null doc_id: in no group, the row stays. Of rows that share a doc_id one stays. Empty table:
+    no rows. Other columns pass, whatever their names.
+    """
     judged = materialise(near_duplicates(docs).select("doc_id", "kept"), "judged")
     rest = _without(docs, judged.filter("NOT kept"))
     repeated = materialise(judged.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated")
@@ -41,17 +49,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    Null or empty text holds none. Of rows that share a doc_id, all go if one holds an item; rows with null doc_id are
+    not identified and stay. Empty tables: nothing goes. Other columns pass, whatever their names.
+    """
     return _without(docs, find_items(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources give their share of words: documents repeat by epochs, the one at the cut in part."""
+    """Sources give their share of words: documents repeat by epochs, the one at the cut in part.
+
+    Null source: one of its own. Rows without words stay once, as do rows with null doc_id. Rows that share a doc_id are
+    taken as often as the most taken of them. Empty table: no rows. Other columns pass, whatever their names.
+    """
     return apply_mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row goes to its shard."""
+    """Every row goes to its shard.
+
+    Null doc_id: one shard for all of them. Null text: size 16. Repeated rows: one shard, slots of their own. Empty
+    table: no rows. Other columns go.
+    """
     return shard_documents(docs, SHARDS)
 
 
