@@ -165,6 +165,29 @@ def test_partial_quotations(spark):
     assert one[3].text == "Yes, noon is fine." and one[5].text == "Fine."
 
 
+def test_generated_threads(spark):
+    """Replies that quote a whole passage, some lines of it, or a quotation with what it quotes find the message they answer."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, parent = [], {}
+    for conv in range(15):
+        own, quoted = {}, {}
+        for t in range(14):
+            own[t] = [" ".join(word() for _ in range(rng.randint(2, 8))) for _ in range(3)]
+            p = rng.randrange(t) if t and rng.random() < 0.8 else None
+            parent[conv, t], quoted[t] = p, []
+            if p is not None:
+                mode = rng.choice(["whole", "part", "nested"])
+                lines = own[p] if mode != "part" else sorted(rng.sample(own[p], rng.randint(1, 2)), key=own[p].index)
+                quoted[t] = [*(f"> {x}" for x in quoted[p] if mode == "nested"), *(f"> {x.upper() if rng.random() < 0.3 else x}" for x in lines)]
+            rows.append((conv, t, "u", "\n".join([*(["On Monday somebody wrote:"] if quoted[t] and rng.random() < 0.5 else []), *quoted[t], *own[t]])))
+    rng.shuffle(rows)
+    got = quotation.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got} == parent
+    for conv in range(15):
+        assert sorted(r.position for r in got if r.conv_id == conv) == list(range(14))
+
+
 # 5
 
 

@@ -26,3 +26,18 @@ def test_stages(spark, tmp_path):
     assert mixed.columns == docs.columns
     sharded = corpus_pipeline.sharding(spark, mixed, str(tmp_path))
     assert sharded.count() == mixed.count()
+
+
+def test_run_on_awkward_and_empty_tables(spark, tmp_path):
+    texts = [*data.awkward(), (12, "another text of the same id", None, None)]
+    for name, rows, labels, items in (("all", texts, [(6, 1), (9, 0), (10, 0), (None, 1), (11, None)], [(None, "one two"), (1, None)]), ("none", [], [], [])):
+        folder = f"{tmp_path}/{name}"
+        data.frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        slots = {}
+        for r in got:
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+        assert bool(got) == bool(rows) and 4 not in {r.doc_id for r in got}
