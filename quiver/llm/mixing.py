@@ -95,7 +95,8 @@ def _first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     gaps = F.split(text, f"{NON_SPACE}+")
     words = F.regexp_extract_all(text, F.lit(f"({NON_SPACE}+)"), F.lit(1))
-    return F.array_join(F.slice(F.transform(words, lambda w, i: F.concat(F.get(gaps, i), w)), 1, n.cast("int")), "")
+    # zipped, as a lambda that looked up the gaps would cut the text again for every word
+    return F.array_join(F.slice(F.zip_with(gaps, words, lambda gap, word: F.concat(gap, word)), 1, n.cast("int")), "")
 
 
 ORACLE = """
