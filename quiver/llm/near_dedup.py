@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ LINK_PERCENT = 75
 
 #: Members of a bucket that a task compares with as many others by sketch, and shingles that a task compares with as many others exactly.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 8192, 2_000_000
+#: Pairs of a task whose bands are compared at a time.
+PAIRS_AT_ONCE = 20_000
 #: Rays of a bucket's centre that one copy of the centre meets.
 RAYS_OF_COPY = 1000
 #: Ids of documents in candidate pairs are broadcast up to so many (8 bytes each).
@@ -101,25 +104,28 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both texts, those whose full shingle sets are similar enough."""
+    """Of rows (a, copy, b, text of b), sorted so that a centre (b = a) stands before its rays, the pairs whose full shingle sets are similar enough."""
     hashes = WordHashes()
-    held: dict[int, np.ndarray] = {}  # the sets of the last few left sides: stars share theirs
+    at, held = None, {}  # the different sets of the centre: more than one if rows share its id
     for batch in slices(batches):
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        a, copy, b = (batch.column(i).to_pylist() for i in range(3))
         keep = []
-        for i, (left, right) in enumerate(zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True)):
-            key = hash(left)
-            if key not in held:
-                if len(held) >= 8:
-                    held.clear()
-                held[key] = shingle_set(left, hashes)
-            x, y = held[key], shingle_set(right, hashes)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both and 100 * both >= LINK_PERCENT * (len(x) + len(y) - both):
+        for i, text in enumerate(as_bytes(batch.column(3))):
+            if (a[i], copy[i]) != at:
+                at, held = (a[i], copy[i]), {}
+            y = shingle_set(text, hashes)
+            if a[i] == b[i]:
+                held[xxhash.xxh3_128_digest(y)] = y
+            elif any(_similar(x, y) for x in held.values()):
                 keep.append(i)
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= LINK_PERCENT * (len(x) + len(y) - both)
+
+
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """A column of lists of one length as rows of a matrix."""
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
@@ -143,10 +149,10 @@ def candidates_of_task(members: pa.Table) -> pa.Table:
             odd = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
             least, most = np.minimum(size[x][:, None], size[right][None]), np.maximum(size[x][:, None], size[right][None])
             i, j = np.nonzero((odd <= most_odd_bits()) & (100 * least >= LINK_PERCENT * most) & (component[x][:, None] != component[right][None]))
-            i, j = x[i], right[j]
-            shared = bands[i] == bands[j]
-            first = bands[i, shared.argmax(axis=1)] == band
-            here[i[first]] = here[j[first]] = True
+            for part in range(0, len(i), PAIRS_AT_ONCE):
+                u, v = x[i[part : part + PAIRS_AT_ONCE]], right[j[part : part + PAIRS_AT_ONCE]]
+                first = bands[u, (bands[u] == bands[v]).argmax(axis=1)] == band
+                here[u[first]] = here[v[first]] = True
     rows = np.flatnonzero(here)
     return pa.table({"band": pa.array(np.full(len(rows), band, np.int64)), "node": members.column("node").take(pa.array(rows)), "component": members.column("component").take(pa.array(rows))})
 
@@ -167,6 +173,7 @@ def links_of_task(members: pa.Table) -> pa.Table:
     edges = np.concatenate([[0], np.cumsum(size)])
     order = np.argsort(size, kind="stable")
     names, codes = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    codes = codes.astype(np.int32)  # a task has fewer than 2**31 shingles
     sets = [codes[edges[i] : edges[i + 1]] for i in order]
     node, component, side, size = node[order], component[order], side[order], size[order]
     joined, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])
@@ -223,11 +230,12 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
 
 
-def _confirm(pairs: DataFrame, centres: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that hold on full sets. Texts of documents in no pair are left out before any shuffle."""
-    needed = _only(texts, pairs.select("a").union(pairs.select("b")))
-    both = pairs.join(needed.toDF("b", "text_b"), "b").join(centres.join(needed.toDF("a", "text_a"), "a"), ["a", "copy"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(confirmed, "a long, b long").distinct()
+def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, copy, b) that hold on full sets. Texts of documents in no pair are left out before any shuffle, and a centre's text is sent once a copy."""
+    rows = pairs.select("a", "copy", "b").union(pairs.select("a", "copy", F.col("a").alias("b")).distinct())
+    needed = _only(texts, rows.select("b")).toDF("b", "text")
+    sides = rows.join(needed, "b").select("a", "copy", "b", "text").repartition("a", "copy").sortWithinPartitions("a", "copy", F.col("b") != F.col("a"))
+    return sides.mapInArrow(confirmed, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -288,7 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rays = with_hot(rays, counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("copy"))
     x = centres.join(sketches.withColumnRenamed("node", "a"), "a")
     near = rays.alias("r").join(sketches.alias("y"), F.col("r.b") == F.col("y.node")).join(x.alias("x"), (F.col("r.a") == F.col("x.a")) & (F.col("r.copy") == F.col("x.copy"))).filter(_close("x", "y"))
-    link(materialise(_confirm(materialise(near.select("r.a", "r.b", "r.copy").distinct(), "pairs"), centres, texts), "links"))
+    link(materialise(_confirm(materialise(near.select("r.a", "r.b", "r.copy").distinct(), "pairs"), texts), "links"))
 
     rest = placed().drop("n_shingles").join(nodes, "node")
     task = ["band", "i", "j"]

@@ -75,6 +75,6 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE)
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 of a string column; null counts as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+def as_bytes(column: pa.Array) -> Iterator[bytes]:
+    """UTF-8 of a string column, one value at a time; null counts as empty."""
+    return (x.as_py() or b"" for x in column.cast(pa.binary()))
