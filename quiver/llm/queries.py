@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import line_dedup, mixing, near_dedup, pii
+from quiver.llm import line_dedup, mixing, near_dedup, pii, sharding
 from quiver.llm.common import read_table
 from quiver.llm.decontamination import find_items
 from quiver.llm.license_scan import scan_licenses
@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op7_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_near_dedup": near_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARDS), "op7_mixing": mixing.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_near_dedup": near_dedup.ORACLE}

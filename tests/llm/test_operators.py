@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,15 @@ def test_sharding(docs, nothing):
     assert sharding.shard_documents(nothing, 7).count() == 0
 
 
+def test_sharding_in_sql(docs):
+    columns = ["doc_id", "size", "text_crc32", "shard", "slot", "grown_shard"]
+    got = sharding.shard_documents(docs, 7, runs=3).select(columns).collect()
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": pa.array([r[0] for r in data.awkward()], pa.int64()), "text": [r[1] for r in data.awkward()]}))
+    wanted = db.sql(f"SELECT {', '.join(columns)} FROM ({sharding.oracle(7, 3)})").fetchall()
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)) for r in got)
+
+
 # 2
 
 
