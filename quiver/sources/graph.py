@@ -172,6 +172,32 @@ class Graph:
             frame = self.spark.createDataFrame([], "id string")
         return frame if limit is None else frame.limit(limit)
 
+    def scan_edges(self, limit: int | None = None) -> DataFrame:
+        """Label and id of edges; ``get_edge`` takes the id."""
+        frame = _union([t.frame.select(F.lit(t.label).alias("label"), F.concat(F.lit(t.prefix), F.col(f"`{t.key}`").cast("string")).alias("id")) for ts in self.edges.values() for t in ts])
+        if frame is None:
+            frame = self.spark.createDataFrame([], "label string, id string")
+        return frame if limit is None else frame.limit(limit)
+
+    def get_node(self, id: str) -> DataFrame:
+        """The node of an id, all its properties; no rows if there is none."""
+        return self._get(list(self.nodes.values()), id)
+
+    def get_edge(self, id: str) -> DataFrame:
+        """The edge of an id; no rows if there is none."""
+        return self._get([t for ts in self.edges.values() for t in ts], id)
+
+    def _get(self, tables: list[NodeTable] | list[EdgeTable], id: str) -> DataFrame:
+        parts = []
+        for t in tables:
+            if id.startswith(t.prefix):
+                key, text = F.col(f"`{t.key}`"), id[len(t.prefix) :]
+                # the first comparison, with the key's own type, reaches the scan; the second tells 7 from 007
+                native = F.lit(text).try_cast(t.frame.schema[t.key].dataType)
+                parts.append(t.frame.filter((key == native) & (key.cast("string") == text)))
+        found = _union(parts, by_name=True)
+        return self.spark.createDataFrame([], "id string") if found is None else found
+
     def range_scan(self, index: str, low=None, high=None) -> DataFrame:
         """Nodes whose leading property of the index lies in [low, high)."""
         if index not in self.indexes:

@@ -210,6 +210,10 @@ def index_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.range_scan("price", 920.0, 960.0).select(F.col("p_partkey").alias("k"))
 
 
+def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_graph(spark, sf_dir).get_node("nation:0").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+
+
 def insert_set_delete_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph is made, changed by every kind of write, and read."""
     session = Session(spark)
@@ -339,13 +343,14 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Compiler(graph).query(parse("MATCH (u:User)-[d:DID]->(k:Kind) RETURN u.user_id AS user_id, k.event_type AS kind, COUNT(*) AS n").statements[0])
 
 
-for _name, _query in (("stream_ingest", stream_ingest), ("documents_roundtrip", documents_roundtrip), ("unique_index", unique_index), ("graph_ddl", graph_ddl), ("labels_and_removal", labels_and_removal), ("transactions", transactions), ("backup_and_restore", backup_and_restore), ("fulltext_and", fulltext_and), ("fulltext_prefix", fulltext_prefix), ("fulltext_inverted", fulltext_inverted), ("index_range_scan", index_range_scan), ("insert_set_delete_roundtrip", insert_set_delete_roundtrip), ("export_lines", export_lines), ("export_places", export_places)):
+for _name, _query in (("stream_ingest", stream_ingest), ("documents_roundtrip", documents_roundtrip), ("unique_index", unique_index), ("graph_ddl", graph_ddl), ("labels_and_removal", labels_and_removal), ("transactions", transactions), ("backup_and_restore", backup_and_restore), ("fulltext_and", fulltext_and), ("fulltext_prefix", fulltext_prefix), ("fulltext_inverted", fulltext_inverted), ("index_range_scan", index_range_scan), ("point_get", point_get), ("insert_set_delete_roundtrip", insert_set_delete_roundtrip), ("export_lines", export_lines), ("export_places", export_places)):
     QUERIES[_name] = _query
 
 _TOKENS = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
 ORACLES["fulltext_and"] = ORACLES["fulltext_inverted"] = f"SELECT doc_id FROM documents WHERE list_contains({_TOKENS}, 'license') AND list_contains({_TOKENS}, 'under')"
 ORACLES["fulltext_prefix"] = f"SELECT doc_id FROM documents WHERE len(list_filter({_TOKENS}, lambda t: starts_with(t, 'licen'))) > 0"
 ORACLES["index_range_scan"] = "SELECT p_partkey AS k FROM part WHERE p_retailprice >= 920 AND p_retailprice < 960"
+ORACLES["point_get"] = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation WHERE n_nationkey = 0"
 ORACLES["insert_set_delete_roundtrip"] = "SELECT 'B' AS a, CAST(20 AS BIGINT) AS n, CAST(5 AS BIGINT) AS km, 'C' AS b, true AS big"
 ORACLES["stream_ingest"] = "SELECT user_id, event_type AS kind, count(*) AS n FROM events GROUP BY ALL"
 ORACLES["documents_roundtrip"] = "SELECT doc_id, text, lang, source FROM documents"

@@ -82,3 +82,14 @@ def test_whole_export_and_count(spark, tables, users):
     assert "INSERT (:`Document` {_id: 'document:1', `doc_id`: 1, `text`: 'it''s', `lang`: 'en', `source`: 's', `n_chars`: 4});" in lines
     following = Counter(line for line in lines if "NEXT_USER" in line)
     assert following == Counter(f"MATCH (a {{_id: 'user:{s}'}}), (b {{_id: 'user:{d}'}}) INSERT (a)-[:`NEXT_USER`]->(b);" for s, d in zip(users, users[1:], strict=False))
+
+
+def test_point_gets_and_edge_scans(spark, tables):
+    graph = suite.load_graph(spark, tables)
+    assert [r.n_name for r in graph.get_node("nation:1").collect()] == ["M"]
+    for missing in ("nation:01", "nation:x", "nation:9", "nowhere:1", ""):
+        assert graph.get_node(missing).count() == 0
+    assert "PushedFilters: [IsNotNull(n_nationkey), EqualTo(n_nationkey,1)]" in graph.get_node("nation:1")._jdf.queryExecution().toString()
+    ids = {r.id for r in graph.scan_edges().filter("label = 'IN_REGION'").collect()}
+    assert len(ids) == 2 and graph.scan_edges(1).count() == 1
+    assert all(graph.get_edge(i).count() == 1 for i in ids) and graph.get_edge("in_region:none").count() == 0
